@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup
+from verso.llm import exact_dedup, quality_rules
 from verso.llm.common import documents
 
 
@@ -11,7 +11,11 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_exact_duplicates(docs, keep="largest", carry=("doc_id",))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.judged(documents(spark, sf_dir))
+
+
+QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_quality_rules": op5_quality_rules}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
