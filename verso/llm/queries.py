@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup, quality_rules
+from verso.llm import exact_dedup, quality_rules, simhash
 from verso.llm.common import documents
 
 
@@ -15,7 +15,15 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.judged(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op5_quality_rules": op5_quality_rules}
+def op10_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op10_simhash": op10_simhash,
+}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
