@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup, quality_rules, simhash
+from verso.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from verso.llm.common import documents
 
 
@@ -19,9 +19,19 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).drop("row_key")
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
 
