@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from verso.llm import exact_dedup, fm_index, mixing, packing, quality_rules, run_index, simhash
 from verso.llm.common import documents
 
 
+def op2_run_index(spark, sf_dir):
+    return run_index.remove_repeated_substrings(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup.mark_exact_duplicates(docs, keep="largest", carry=("doc_id",))
@@ -19,6 +23,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_fm_index(spark, sf_dir):
+    return fm_index.remove_repeated_passages(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
@@ -28,8 +36,10 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_run_index": op2_run_index,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_fm_index": op6_fm_index,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
