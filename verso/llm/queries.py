@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup, fm_index, mixing, packing, quality_rules, run_index, simhash
+from verso.llm import exact_dedup, fm_index, language_id, mixing, packing, quality_rules, run_index, simhash, site_quality
 from verso.llm.common import documents
 
 
@@ -10,6 +10,10 @@ def op2_run_index(spark, sf_dir):
     return run_index.remove_repeated_substrings(documents(spark, sf_dir))
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup.mark_exact_duplicates(docs, keep="largest", carry=("doc_id",))
@@ -31,16 +35,22 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
 
 
+def op8_site_quality(spark, sf_dir):
+    return site_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).drop("row_key")
 
 
 QUERIES = {
     "op2_run_index": op2_run_index,
+    "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_fm_index": op6_fm_index,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_site_quality": op8_site_quality,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
