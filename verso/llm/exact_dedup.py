@@ -1,9 +1,11 @@
 """Exact duplicates by content sort.
 
-Range partitioning by (normalised text, salt) uses splitters that Spark samples, each partition is
-sorted externally so that equal texts are adjacent, and the window over them compares neighbours on
-the full text. The salt, a function of the identifier, splits a group of copies that holds a large
-share of all rows over several partitions; the few leaders of each text's runs then meet by digest.
+Range partitioning uses splitters that Spark samples. The driver holds the sample, so a splitter is
+not the whole text but its first characters, its digest and a salt: equal texts still share one key.
+Each partition is sorted externally so that equal texts are adjacent, and the window over them
+compares neighbours on the full text. The salt, a function of the identifier, splits a group of copies
+that holds a large share of all rows over several partitions; the few leaders of each text's runs
+then meet by digest.
 """
 
 from __future__ import annotations
@@ -39,31 +41,37 @@ def mark_exact_duplicates(
     order: Column = F.desc_nulls_last(id_col) if keep == "largest" else F.asc_nulls_last(id_col)
     pick = F.max if keep == "largest" else F.min
 
-    # The salt comes after the text in the splitters, so only runs of one text are cut by it.
-    sorted_rows = rows.withColumn("_norm", normalise(F.coalesce(F.col(text_col), F.lit("")))).withColumn(
-        "_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int")
+    # The salt comes last in the splitters, so only runs of one text are cut by it. Keys that cannot be
+    # null draw no null filters, which would keep the two uses of the exchange apart.
+    sorted_rows = rows.withColumn("_norm", normalise(F.coalesce(F.col(text_col), F.lit("")))).withColumns(
+        {
+            "_head": F.left("_norm", F.lit(32)),
+            "_digest": F.xxhash64("_norm"),
+            "_salt": F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"), F.lit(0)),
+        }
     )
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = sorted_rows.repartitionByRange(parts, "_norm", "_salt")
-    run = Window.partitionBy("_norm", "_salt").orderBy(order)
-    whole = Window.partitionBy("_norm", "_salt").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sorted_rows = sorted_rows.repartitionByRange(parts, "_head", "_digest", "_salt")
+    run = Window.partitionBy("_head", "_digest", "_salt", "_norm").orderBy(order)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = sorted_rows.withColumns(
         {
             "_place": F.row_number().over(run),
             "_best": F.first(id_col).over(whole),
             "_size": F.count(F.lit(1)).over(whole),
-            "text_sha256": F.sha2(F.col("_norm"), 256),
+            "text_sha256": F.coalesce(F.sha2(F.col("_norm"), 256), F.lit("")),
         }
-    ).drop("_norm", *([] if text_col in extra else [text_col]))
+    ).drop("_norm", "_head", "_digest", *([] if text_col in extra else [text_col]))
 
-    leaders = (
-        marked.filter("_place = 1")
-        .groupBy("text_sha256")
-        .agg(pick("_best").alias("keep_id"), F.sum("_size").alias("group_size"))
+    # At most `salts` leaders of a text meet; they go back to the rows of their own salt only.
+    leaders = marked.filter("_place = 1").select("text_sha256", "_salt", "_best", "_size")
+    one_text = Window.partitionBy("text_sha256")
+    leaders = leaders.select(
+        "text_sha256", "_salt", pick("_best").over(one_text).alias("keep_id"), F.sum("_size").over(one_text).alias("group_size")
     )
     kept = (F.col("_place") == 1) & F.col("_best").eqNullSafe(F.col("keep_id"))
     # Null identifiers all share one salt, so a group without any identifier keeps one row as well.
-    return marked.join(leaders, "text_sha256").select(*extra, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return marked.join(leaders, ["text_sha256", "_salt"]).select(*extra, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(df: DataFrame, **options) -> DataFrame:
