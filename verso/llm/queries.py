@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup, fm_index, language_id, mixing, packing, quality_rules, run_index, simhash, site_quality
+from verso.llm import exact_dedup, fm_index, language_id, mixing, packing, pii, quality_rules, run_index, simhash, site_quality
 from verso.llm.common import documents
 
 
+def op1_pii(spark, sf_dir):
+    return pii.find(documents(spark, sf_dir)).drop("_key", "_all")
+
+
 def op2_run_index(spark, sf_dir):
     return run_index.remove_repeated_substrings(documents(spark, sf_dir))
 
@@ -44,6 +48,7 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_run_index": op2_run_index,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
