@@ -51,16 +51,9 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, sigma: int, context: int, weights: np.ndarray):
         n = len(text)
-        padded = np.concatenate((text, np.full(context + 2, sigma - 1, np.int64))).astype(np.uint64)
-        two = padded[:-1] << np.uint64(32) | padded[1:]
-        rounds = -(-context // 2)
-
-        def keys(places: np.ndarray, i: int) -> np.ndarray:
-            key = two[:n] if i == 0 else two[places + 2 * i]
-            return key >> np.uint64(32) if context % 2 and i == rounds - 1 else key
-
-        rows, new = suffix_order(keys, n, rounds)
-        self.matrix = WaveletMatrix(padded[rows - 1].astype(np.int64), sigma)
+        padded = np.concatenate((text, np.full(context, sigma - 1, np.int64)))
+        rows, new = suffix_order(padded, max(1, int(sigma - 1).bit_length()), n, context)
+        self.matrix = WaveletMatrix(padded[rows - 1], sigma)
         count = np.bincount(text, minlength=sigma)
         self.first = np.cumsum(count) - count
         shared = ~new

@@ -113,12 +113,12 @@ def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield first, len(texts)
 
 
-def super_windows(gram: np.ndarray, lens: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place in it, symbols, anchor hash) of every super-window."""
+def super_windows(gram: np.ndarray, lens: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """(document, place in it, symbols, anchor hash, place of the anchor) of every super-window."""
     n, w = len(gram), window - k + 1
     empty = np.empty(0, np.int64)
     if n < window:
-        return empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty
     key = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     least, span = key, 1
     while span * 2 <= w:
@@ -129,14 +129,15 @@ def super_windows(gram: np.ndarray, lens: np.ndarray, window: int, k: int) -> tu
     counts = np.maximum(lens - window + 1, 0)
     at = np.arange(counts.sum()) + np.repeat(firsts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
     if not len(at):
-        return empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty
     chosen = least[at]
     new = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
     start = at[new]
     doc = np.searchsorted(firsts, start, side="right") - 1
     # Texts without symbols share their first place with the next one; the last of them holds it.
     symbols = np.diff(np.concatenate((new, [len(at)]))) + window - 1
-    return doc, start - firsts[doc], symbols, gram[(chosen[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    anchor = (chosen[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return doc, start - firsts[doc], symbols, gram[anchor], anchor - start
 
 
 # ---- packing -----------------------------------------------------------------------------------
@@ -183,9 +184,8 @@ def _texts(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes], np.ndarray]:
 def _pieces(rule: Rule, texts: list[bytes]) -> Iterator[tuple]:
     for a, b in chunks(texts):
         symbols, lens, gram = rule.spell(texts[a:b])
-        doc, start, length, anchor = super_windows(gram, lens, rule.window, rule.gram)
         firsts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        yield symbols, a, doc, start, length, anchor, firsts
+        yield symbols, a, firsts, *super_windows(gram, lens, rule.window, rule.gram)
 
 
 # ---- the passes --------------------------------------------------------------------------------
@@ -198,7 +198,7 @@ def _anchors(rule: Rule, shards: int):
         block = int(pdf["_block"].iloc[0])
         _, texts, ids = _texts(pdf)
         found, docs = [], []
-        for _, a, doc, _, _, anchor, _ in _pieces(rule, texts):
+        for _, a, _, doc, _, _, anchor, _ in _pieces(rule, texts):
             found.append(anchor), docs.append(ids[a + doc])
         gram, doc = np.concatenate(found), np.concatenate(docs)
         order = np.argsort(gram, kind="stable")
@@ -250,24 +250,25 @@ def _places(rule: Rule, shards: int):
         known = np.sort(np.concatenate([np.frombuffer(d, dtype=np.uint64) for d in hits["data"]]))
         names, crowded = known >> np.uint64(1), (known & np.uint64(1)).astype(bool)
         number: dict[bytes, int] = {}
-        of, docs, starts, where = [], [], [], []
-        for symbols, a, doc, start, length, anchor, firsts in _pieces(rule, texts):
+        of, docs, starts, where, offsets = [], [], [], [], []
+        for symbols, a, firsts, doc, start, length, anchor, offset in _pieces(rule, texts):
             name = anchor >> np.uint64(17)
             at = np.minimum(np.searchsorted(names, name), len(names) - 1)
             hit = names[at] == name
-            doc, start, length, anchor, many = doc[hit], start[hit], length[hit], anchor[hit], crowded[at[hit]]
+            doc, start, length, anchor, offset, many = doc[hit], start[hit], length[hit], anchor[hit], offset[hit], crowded[at[hit]]
             shard = _shard(anchor, shards).astype(np.int64)
             if many.any():  # single windows instead of pieces
                 each = np.where(many, length - rule.window + 1, 1)
                 step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                many, doc, shard = np.repeat(many, each), np.repeat(doc, each), np.repeat(shard, each)
+                many, doc, shard, offset = np.repeat(many, each), np.repeat(doc, each), np.repeat(shard, each), np.repeat(offset, each) - step
                 start, length = np.repeat(start, each) + step, np.where(many, rule.window, np.repeat(length, each))
             first = (firsts[doc] + start) * rule.unit
-            for x, y, s, m in zip(first.tolist(), (first + length * rule.unit).tolist(), shard.tolist(), many.tolist(), strict=True):
+            for x, y, s, o, m in zip(first.tolist(), (first + length * rule.unit).tolist(), shard.tolist(), offset.tolist(), many.tolist(), strict=True):
                 piece = symbols[x:y]
                 i = number.setdefault(piece, len(number))
                 if i == len(where):
                     where.append(xxhash.xxh64_intdigest(piece) % shards if m else s)
+                    offsets.append(o)
                 of.append(i)
             docs.append(doc + a), starts.append(start)
         if not number:
@@ -279,14 +280,14 @@ def _places(rule: Rule, shards: int):
         counts = np.diff(np.concatenate((new, [len(of)])))
         weight = np.minimum.reduceat(ids[doc], new) if rule.earlier else counts.astype(np.int64)
         least = np.repeat(weight, counts) == ids[doc] if rule.earlier else np.ones(len(of), bool)
-        pieces = list(number)
+        pieces, offset = list(number), np.array(offsets, dtype=np.uint8)
         rows = []
         for shard, which in _split(np.array(where), np.arange(len(pieces))):
             own = np.concatenate([np.arange(new[i], new[i] + counts[i]) for i in which.tolist()])
             bodies = [pieces[i] for i in which.tolist()]
             lengths = np.fromiter(map(len, bodies), dtype="<u4", count=len(bodies)) // rule.unit
             data = pack(
-                lengths.astype("<u4"), weight[which], counts[which].astype("<u4"), doc[own].astype("<u4"), start[own].astype("<u4"), least[own], b"".join(bodies)
+                lengths.astype("<u4"), offset[which], weight[which], counts[which].astype("<u4"), doc[own].astype("<u4"), start[own].astype("<u4"), least[own], b"".join(bodies)
             )
             rows.append((shard, block, data))
         return pd.DataFrame(rows, columns=["shard", "_block", "data"])
@@ -294,24 +295,57 @@ def _places(rule: Rule, shards: int):
     return run
 
 
+def _indexed(rule: Rule, pieces: list[bytes], lengths: np.ndarray, total: np.ndarray, anchor: np.ndarray, size: int = 1 << 18) -> np.ndarray:
+    """Value of every window of the pieces, from indexes over groups of anchors of about `size` bytes each.
+
+    Pieces with different anchors share no window, so a group is a whole collection of its own, and
+    the index of one stays in the processor's cache.
+    """
+    windows = lengths - rule.window + 1
+    firsts = np.cumsum(windows) - windows
+    value = np.empty(windows.sum(), np.int64)
+    order = np.argsort(anchor, kind="stable")
+    last = np.concatenate((anchor[order][1:] != anchor[order][:-1], [True]))
+    filled = np.cumsum((lengths[order] + 1) * rule.unit)
+    ends, done = [], 0
+    for i in np.flatnonzero(last).tolist():
+        if filled[i] - done >= size or i == len(order) - 1:
+            ends.append(i + 1)
+            done = filled[i]
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        which = order[a:b]
+        found = rule.index(b"".join([pieces[i] for i in which.tolist()]), lengths[which], total[which], rule.window, rule.earlier)
+        n = windows[which]
+        value[np.repeat(firsts[which] - np.cumsum(n) + n, n) + np.arange(n.sum())] = found
+    return value
+
+
 def _spans(rule: Rule):
     """Of a shard: an index over its distinct pieces, and for each block the spans that go."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
-        rows = []
+        names: dict[bytes, int] = {}  # anchors
+        anchor_of, rows = [], []
+        size = rule.gram * rule.unit
         for block, data in zip(pdf["_block"], pdf["data"], strict=True):
-            lengths, weight, counts, doc, start, least, body = unpack(data)
+            lengths, offsets, weight, counts, doc, start, least, body = unpack(data)
             lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
             ends = (np.cumsum(lengths) * rule.unit).tolist()
-            own = np.array([number.setdefault(body[x:y], len(number)) for x, y in zip([0, *ends[:-1]], ends, strict=True)])
-            rows.append((block, own, lengths, np.frombuffer(weight, np.int64), *(np.frombuffer(x, t) for x, t in ((counts, "<u4"), (doc, "<u4"), (start, "<u4"), (least, bool)))))
+            own = []
+            for x, y, o in zip([0, *ends[:-1]], ends, offsets, strict=True):
+                i = number.setdefault(body[x:y], len(number))
+                if i == len(anchor_of):
+                    at = x + o * rule.unit
+                    anchor_of.append(names.setdefault(body[at : at + size], len(names)))
+                own.append(i)
+            rows.append((block, np.array(own), lengths, np.frombuffer(weight, np.int64), *(np.frombuffer(x, t) for x, t in ((counts, "<u4"), (doc, "<u4"), (start, "<u4"), (least, bool)))))
         total = np.full(len(number), LAST_ID) if rule.earlier else np.zeros(len(number), np.int64)
         join = np.minimum if rule.earlier else np.add
         for r in rows:
             join.at(total, r[1], r[3])
         lengths = np.fromiter(map(len, number), dtype=np.int64, count=len(number)) // rule.unit
-        value = rule.index(b"".join(number), lengths, total, rule.window, rule.earlier)
+        value = _indexed(rule, list(number), lengths, total, np.array(anchor_of))
         windows = lengths - rule.window + 1
         firsts = np.cumsum(windows) - windows
         out = []
@@ -354,13 +388,10 @@ def _cut(rule: Rule, words: bool):
         parts = [t.split() for t in texts] if words else texts
         lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         firsts = np.cumsum(lens) - lens
-        delta = np.zeros(lens.sum() + 1, dtype=np.int64)
-        for data in spans["data"]:
-            doc, start, size = (np.frombuffer(x, "<u4").astype(np.int64) for x in unpack(data))
-            at = firsts[doc] + start
-            delta += np.bincount(at, minlength=len(delta)) - np.bincount(at + size, minlength=len(delta)) if len(at) > len(delta) // 8 else 0
-            if len(at) <= len(delta) // 8:
-                np.add.at(delta, at, 1), np.add.at(delta, at + size, -1)
+        found = [[np.frombuffer(x, "<u4").astype(np.int64) for x in unpack(data)] for data in spans["data"]]
+        doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        at, total = firsts[doc] + start, int(lens.sum()) + 1
+        delta = np.bincount(at, minlength=total) - np.bincount(at + size, minlength=total)
         gone = np.cumsum(delta)[:-1] > 0
         rows = []
         for part, first, n in zip(parts, firsts.tolist(), lens.tolist(), strict=True):
@@ -397,27 +428,42 @@ def cut_repeats(df: DataFrame, rule: Rule, id_col: str, text_col: str, words: bo
     return rows.groupBy("_block").cogroup(spans.groupBy("_block")).applyInPandas(_cut(rule, words), out)
 
 
-def suffix_order(keys: Callable[[np.ndarray, int], np.ndarray], n: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes 0..n-1 by `rounds` successive keys, ties in text order, and the starts of ties.
+def suffix_order(symbols: np.ndarray, bits: int, n: int, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes 0..n-1 by their first `context` symbols, ties in text order, and the starts of ties.
 
-    keys(places, i) is the i-th key of the suffixes at `places`. Only suffixes that are still tied are
-    sorted again.
+    `symbols` has `context` more of them than n, each of `bits` bits. The first sort takes as many
+    symbols as 64 bits hold; after that only suffixes that are still tied are sorted, by the number of
+    their tie and the next symbols in one key. Texts here have fewer than 2^24 symbols.
     """
-    key = keys(np.arange(n), 0)
-    order = np.argsort(key, kind="stable")
+    symbols = symbols.astype(np.uint64)
+
+    def keys(places: np.ndarray | slice, count: int) -> np.ndarray:
+        key = symbols[places]
+        for i in range(1, count):
+            at = slice(i, i + n) if isinstance(places, slice) else places + i
+            key = key << np.uint64(bits) | symbols[at]
+        return key
+
+    first, later = min(context, 64 // bits), 40 // bits
+    key = keys(slice(0, n), first)
+    order = np.argsort(key)
     key = key[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))
-    for i in range(1, rounds):
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
+    at, done = np.arange(n), first
+    while True:
+        tied = ~new[at]
+        tied[:-1] |= tied[1:] & (at[1:] == at[:-1] + 1)
+        at = at[tied]
         if not len(at):
-            break
-        group = np.cumsum(new)[at]
-        key = keys(order[at], i)
-        again = np.lexsort((key, group))
+            return order, new
+        group = np.cumsum(new[at], dtype=np.uint64) << np.uint64(40)
+        last = done == context
+        count = min(later, context - done)
+        key = group | (order[at].astype(np.uint64) if last else keys(order[at] + done, count))
+        again = np.argsort(key)
         order[at] = order[at][again]
+        if last:
+            return order, new
         key = key[again]
-        same = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
-        new[at] = np.concatenate(([True], ~same))
-    return order, new
+        new[at[1:]] |= key[1:] != key[:-1]
+        done += count

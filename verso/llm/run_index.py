@@ -24,15 +24,8 @@ class RunLengthIndex:
 
     def __init__(self, text: np.ndarray, context: int):
         n = len(text)
-        padded = np.concatenate((text, np.full(context + 16, END, np.uint8)))
-        eight = np.ndarray(shape=(len(padded) - 7,), dtype=">u8", buffer=padded.tobytes(), strides=(1,)).astype(np.uint64)
-        rounds, rest = -(-context // 8), context % 8
-
-        def keys(places: np.ndarray, i: int) -> np.ndarray:
-            key = eight[:n] if i == 0 else eight[places + 8 * i]
-            return key >> np.uint64(64 - 8 * rest) if rest and i == rounds - 1 else key
-
-        rows, new = suffix_order(keys, n, rounds)
+        padded = np.concatenate((text, np.full(context, END, np.uint8)))
+        rows, new = suffix_order(padded, 8, n, context)
         letters = padded[rows - 1]  # row 0 of the text wraps to END
         shared = ~new
         shared[:-1] |= ~new[1:]
