@@ -768,7 +768,7 @@ def c6_select_readings(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BOXES} SELECT page, least(70.0, greatest(35.0, list_sort(list(conf))[least(count(*), count(*) // 2 + 1)] - 20)) AS floor FROM boxes GROUP BY page"""
+    f"""WITH {BOXES} SELECT page, least(70.0::DOUBLE, greatest(35.0::DOUBLE, list_sort(list(conf))[least(count(*), count(*) // 2 + 1)]::DOUBLE - 20)) AS floor FROM boxes GROUP BY page"""
 )
 def a32_unread_floor(spark, sf_dir):
     return layout.unread_floor(boxes(spark, sf_dir), "page")
