@@ -195,3 +195,45 @@ def oracle_edits(rows: DataFrame, fields: int = 5) -> DataFrame:
 
     start = F.transform(F.sequence(F.lit(0), size - 1), lambda s: F.when(s == 0, F.lit(0).cast("long")).otherwise(big))
     return matrix.select("doc", F.array_min(F.aggregate("m", start, fold)).alias("oracle_edits"))
+
+
+def _substitutions(gt: str, pred: str) -> list[tuple[str, str]]:
+    """Substituted character pairs of one shortest edit script; among equals a match or substitution goes first."""
+    m = len(pred)
+    rows = [list(range(m + 1))]
+    for i, a in enumerate(gt, 1):
+        last, row = rows[-1], [i]
+        for j, b in enumerate(pred, 1):
+            row.append(min(last[j - 1] + (a != b), last[j] + 1, row[j - 1] + 1))
+        rows.append(row)
+    i, j, out = len(gt), m, []
+    while i and j:
+        here = rows[i][j]
+        if here == rows[i - 1][j - 1] + (gt[i - 1] != pred[j - 1]):
+            if gt[i - 1] != pred[j - 1]:
+                out.append((gt[i - 1], pred[j - 1]))
+            i, j = i - 1, j - 1
+        elif here == rows[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def _pairs(batches):
+    import pandas as pd
+
+    for pdf in batches:
+        found = [p for a, b in zip(pdf["gt"], pdf["pred"], strict=True) for p in _substitutions(a, b)]
+        yield pd.DataFrame(found, columns=["gt_char", "pred_char"])
+
+
+def confusion(rows: DataFrame, top: int = 30) -> DataFrame:
+    """The most frequent substituted characters of scored, rightly assigned fields, per same or crossed script."""
+    from verso.functions.text import script_of
+
+    scored = rows.filter("outcome = 'scored' and misassigned_to is null").select("gt", "pred")
+    counts = scored.mapInPandas(_pairs, "gt_char string, pred_char string").groupBy("gt_char", "pred_char").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("same_script", script_of(F.col("gt_char")) == script_of(F.col("pred_char")))
+    order = Window.partitionBy("same_script").orderBy(F.desc("n"), "gt_char", "pred_char")
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

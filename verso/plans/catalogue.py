@@ -1002,3 +1002,161 @@ def pf11_review_reasons(spark, sf_dir):
     )
     reasons = audit.review_reasons({"short turn": F.col("short") > 0, "few turns": F.col("n") < 4, "digits": F.col("digits") > 0})
     return rows.select("conv_id", F.array_sort(reasons).alias("reasons"))
+
+
+# ---- transcripts, numbers, letters -------------------------------------------------------------
+
+
+def turn_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fields (doc, field, gt): the lines of a turn; transcripts (doc, text): the next turn of the conversation."""
+    t = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    t = t.filter("next is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text", "next")
+    fields = t.select("doc", F.posexplode(F.split("text", "\n")).alias("i", "gt")).filter("gt <> ''")
+    return fields.select("doc", F.format_string("f%03d", "i").alias("field"), "gt"), t.select("doc", F.col("next").alias("text"))
+
+
+@query()
+def a20_coverage(spark, sf_dir):
+    from verso.operators import fulltext
+
+    return fulltext.coverage(fulltext.score_documents(*turn_pages(spark, sf_dir)))
+
+
+@query()
+def k4_unsupported_lines(spark, sf_dir):
+    from verso.operators import fulltext
+
+    fields, pages = turn_pages(spark, sf_dir)
+    lines = fields.select(F.col("doc").alias("page"), F.col("field").alias("line"), F.col("gt").alias("text"))
+    return fulltext.unsupported_lines(lines, pages.select(F.col("doc").alias("page"), F.col("text").alias("page_text")))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id AS doc, unnest({ATOMS}) AS item FROM documents), b AS (SELECT doc_id AS doc, unnest(regexp_extract_all(text, '\\d{{3,}}')) AS item FROM documents),
+        ca AS (SELECT doc, item, count(*) AS n FROM a GROUP BY ALL), cb AS (SELECT doc, item, count(*) AS n FROM b GROUP BY ALL)
+        SELECT length(item) AS n_digits, sum(ca.n)::BIGINT AS n, sum(least(ca.n, coalesce(cb.n, 0)))::BIGINT AS hit, round_even(sum(least(ca.n, coalesce(cb.n, 0))) / sum(ca.n), 4) AS recall
+        FROM ca LEFT JOIN cb USING (doc, item) GROUP BY 1"""
+)
+def a25_recall_by_length(spark, sf_dir):
+    from verso.operators import fulltext
+
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "doc")
+    truth = docs.select("doc", F.explode(values.atoms(F.col("text"))).alias("item"))
+    found = docs.select("doc", F.explode(F.regexp_extract_all("text", F.lit(r"\d{3,}"), F.lit(0))).alias("item"))
+    return fulltext.recall_by_length(truth, found)
+
+
+@query(
+    f"""WITH {FIELDS} SELECT source, sum(CASE WHEN has_gt AND coalesce(gt, '') <> '' THEN levenshtein(gt, coalesce(pred, '')) END)::BIGINT AS edits,
+        sum(CASE WHEN has_gt AND coalesce(gt, '') <> '' THEN length(gt) END)::BIGINT AS chars, count(*) FILTER (coalesce(gt, '') = '' AND coalesce(pred, '') <> '') AS spurious
+        FROM fields GROUP BY source"""
+)
+def a23_field_cer(spark, sf_dir):
+    from verso.operators import fulltext
+
+    rows = fields_of(spark, sf_dir)
+    v = fulltext.field_cer(F.col("gt"), F.col("pred"))
+    rows = rows.select("source", "has_gt", *(c.alias(k) for k, c in v.items()))
+    return rows.groupBy("source").agg(
+        F.sum(F.when(F.col("has_gt"), F.col("edits"))).cast("long").alias("edits"),
+        F.sum(F.when(F.col("has_gt"), F.col("chars"))).cast("long").alias("chars"),
+        F.count_if("spurious").alias("spurious"),
+    )
+
+
+@query()
+def a28_placement(spark, sf_dir):
+    from verso.operators import fulltext
+
+    rows = conversation_fields(spark, sf_dir).filter("has_gt and gt <> ''")
+    content = conversation_fields(spark, sf_dir).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field", "pred"))), lambda x: x["pred"]), " ").alias("content"))
+    return fulltext.placement(rows.join(content, "doc"), "field")
+
+
+@query()
+def a10_confusion(spark, sf_dir):
+    return scoring.confusion(scoring.assignments(scoring.outcomes(conversation_fields(spark, sf_dir))))
+
+
+@query()
+def j11_number_match(spark, sf_dir):
+    """Numbers of a document against the digit strings of its lines, with a verdict for each."""
+    from verso.operators import numerals
+
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "page")
+    spans = docs.select("page", F.posexplode(values.numeric_spans(F.col("text"))).alias("span", "value"))
+    words = docs.select("page", F.explode(F.regexp_extract_all("text", F.lit(r"\d{4,}"), F.lit(0))).alias("text"))
+    found = numerals.best_words(spans, words, "page").withColumn("confidence", numerals.verdict(F.col("value"), F.col("match")))
+    return numerals.verdict_summary(found.withColumn("kind", values.numeric_kind(F.col("value"))), "kind")
+
+
+@query()
+def v7_merged_words(spark, sf_dir):
+    from verso.operators import numerals
+
+    words = boxes(spark, sf_dir).filter(F.col("text").rlike(r"^[\d.,/+()-]+$")).select("page", "text", "conf", "x0", "y0", "x1", "y1")
+    return numerals.merge_neighbours(words, "page")
+
+
+@query(
+    f"""WITH {BOXES}, l AS (SELECT page, line, max(y1) - min(y0) AS h, (min(y0) + max(y1)) / 2 AS c FROM boxes GROUP BY page, line),
+        p AS (SELECT page, quantile_cont(h, 0.8) AS p FROM l GROUP BY page)
+        SELECT page, greatest(median(h), 1.0)::DOUBLE AS ref_h, median(c)::DOUBLE AS centre FROM l JOIN p USING (page) WHERE h BETWEEN p * 0.5 AND p * 2 GROUP BY page"""
+)
+def a34_line_context(spark, sf_dir):
+    return layout.line_context(layout.line_boxes(boxes(spark, sf_dir), "page", "line"), "page")
+
+
+@query(
+    f"""WITH {BOXES}, c AS (SELECT page, 4 + (length(text) * 7 + pos) % 60 AS h, length(text) * 15 AS area FROM boxes),
+        base AS (SELECT * FROM c WHERE area >= 20 AND h > 800 * 0.004), wide AS (SELECT * FROM base WHERE h <= 800 * 0.3),
+        q AS (SELECT page, quantile_cont(h, 0.75) AS q, count(*) AS n FROM wide GROUP BY page),
+        r AS (SELECT page, median(h) AS r, any_value(n) AS n FROM wide JOIN q USING (page) WHERE h >= q * 0.5 GROUP BY page),
+        m AS (SELECT page, median(h) AS m, count(*) AS k FROM base WHERE h < 800 * 0.05 GROUP BY page)
+        SELECT page, (CASE WHEN n < 3 THEN 0.0 WHEN k >= 5 AND m >= 0.4 * r THEN m ELSE r END)::DOUBLE AS height FROM r LEFT JOIN m USING (page)"""
+)
+def a33_robust_height(spark, sf_dir):
+    n = F.length("text")
+    comps = boxes(spark, sf_dir).select("page", ((n * 7 + F.col("pos")) % 60 + 4).alias("h"), (n * 15).alias("area"), F.lit(800).alias("page_h"))
+    return layout.robust_height(comps, "page", "page_h")
+
+
+@query(
+    f"""WITH {BOXES}, p AS (SELECT page, line AS y FROM boxes GROUP BY page, line HAVING sum(length(text)) > 40), g AS (SELECT page, y, y - row_number() OVER (PARTITION BY page ORDER BY y) AS g FROM p)
+        SELECT page, min(y)::INT AS start, (max(y) + 1)::INT AS stop FROM g GROUP BY page, g"""
+)
+def w11_islands(spark, sf_dir):
+    profile = boxes(spark, sf_dir).groupBy("page", F.col("line").alias("y")).agg(F.sum(F.length("text")).alias("ink"))
+    return layout.islands(profile, "page", F.col("ink") > 40)
+
+
+@query()
+def w12_unread_runs(spark, sf_dir):
+    rows = boxes(spark, sf_dir).withColumn("key", F.col("text"))
+    runs = layout.unread_runs(rows, ["page", "line"], F.col("conf") < 30, F.col("text").endswith(":"))
+    return runs.filter("kind is not null").groupBy("page", "kind").agg(F.count(F.lit(1)).alias("words"))
+
+
+@query()
+def c7_joined_rows(spark, sf_dir):
+    pieces = layout.segments(boxes(spark, sf_dir).withColumn("key", F.col("text")), ["page", "line"], F.lit(True))
+    lines = layout.line_boxes(pieces, "page", "line", "segment").withColumnRenamed("segment", "piece")
+    score = layout.line_score(pieces, "page", "line", "segment").withColumnRenamed("segment", "piece")
+    kept = layout.drop_duplicate_pieces(lines.join(score, ["page", "line", "piece"]), ["page", "line"])
+    return layout.join_rows(kept.drop("conf", "piece"), ["page", "line"]).select("page", "line", "text", F.bround("score", 6).alias("score"))
+
+
+@query()
+def v8_letter_fields(spark, sf_dir):
+    from verso.operators import letters
+
+    lines = layout.line_boxes(boxes(spark, sf_dir), "page", "line").select("page", "line", "text", "y0", (F.col("conf") / 100).alias("conf"))
+    height = F.max("y0").over(Window.partitionBy("page")) + 100
+    return letters.letter_fields(lines.withColumn("page_height", height), "page")
+
+
+@query()
+def v10_synthetic_values(spark, sf_dir):
+    from verso.functions import generators
+
+    return generators.mixture(spark, 2000)
