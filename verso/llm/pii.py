@@ -136,7 +136,8 @@ def find(
     wanted = staged(pairs, "pairs")
     vocabulary = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
     occurs = vocabulary.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    occurs = occurs.join(wanted.select("term").distinct(), "term", "left_semi")
+    # An inner join with distinct terms: a semi join would move below the counting and shuffle every word.
+    occurs = occurs.join(wanted.select("term").distinct(), "term")
     total = table.count()
     # n(t) also counts rows where lower case folding changes the letters, so it is never below n(t, e).
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
