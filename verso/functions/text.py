@@ -236,3 +236,10 @@ def head_and_rest(text: Column) -> tuple[Column, Column]:
 def count_text(text: Column, part: str) -> Column:
     """Non-overlapping occurrences of a string."""
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(len(part))).cast("long")
+
+
+def differing_tokens(before: Column, after: Column) -> Column:
+    """(pos, before, after) of the places where two token lists of equal length differ."""
+    pairs = F.zip_with(before, after, lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+    placed = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["before"].alias("before"), p["after"].alias("after")))
+    return F.filter(placed, lambda p: ~p["before"].eqNullSafe(p["after"]))

@@ -1160,3 +1160,213 @@ def v10_synthetic_values(spark, sf_dir):
     from verso.functions import generators
 
     return generators.mixture(spark, 2000)
+
+
+# ---- more projections, sets and samples --------------------------------------------------------
+
+NEXT = "SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations"
+
+
+def next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return t.filter("next is not null")
+
+
+@query(f"WITH {BOXES} SELECT page, line, bool_or(conf >= 60 AND length(text) >= 2) AND avg(conf) >= 50 AS ok FROM boxes GROUP BY page, line")
+def pf7_line_ok(spark, sf_dir):
+    return layout.lines_ok(boxes(spark, sf_dir).withColumn("key", F.col("text")), 50, "page", "line")
+
+
+@query(
+    """SELECT doc_id, i AS line, l AS label FROM (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+       WHERE len(ls) BETWEEN 3 AND 60 AND len(list_filter(ls, lambda x: regexp_matches(x, '[#$%&]'))) = 0)"""
+)
+def pf9_page_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("ls", F.split("text", "\n"))
+    rows = rows.filter(F.size("ls").between(3, 60) & ~F.exists("ls", lambda x: x.rlike("[#$%&]")))
+    return rows.select("doc_id", F.posexplode("ls").alias("line", "label"))
+
+
+@query(f"WITH {BOXES} SELECT page, line, max(y1) - min(y0) <= 200 AND (max(x1) - min(x0)) / (max(y1) - min(y0)) >= 6 AS crop FROM boxes GROUP BY page, line")
+def pf14_line_crops(spark, sf_dir):
+    lines = layout.line_boxes(boxes(spark, sf_dir), "page", "line")
+    return lines.select("page", "line", layout.is_line_crop(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("crop"))
+
+
+@query(
+    """SELECT conv_id, list_filter([CASE WHEN turns <> 4 THEN 'turns ' || turns || ' (expected 4)' END, CASE WHEN roles <> 2 THEN 'roles ' || roles || ' (expected 2)' END], lambda x: x IS NOT NULL) AS problems
+       FROM (SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id)"""
+)
+def pf16_structure(spark, sf_dir):
+    actual = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("role").alias("roles"))
+    expected = actual.select("conv_id", F.lit(4).alias("turns"), F.lit(2).alias("roles"))
+    return layout.structure_report(actual, expected, "conv_id", ["turns", "roles"])
+
+
+@query(
+    f"""WITH {BOXES}, l AS (SELECT page, line, min(x0) AS x0, min(y0) - 15 AS y0, max(x1) AS x1, max(y1) + 15 AS y1, bool_or(regexp_matches(text, '[,.]')) AS marked FROM boxes GROUP BY page, line)
+        SELECT a.page, a.line FROM l a WHERE NOT marked AND NOT EXISTS (SELECT 1 FROM l b WHERE b.marked AND a.page = b.page
+          AND greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest(1, least(a.y1 - a.y0, b.y1 - b.y0)) > 0.4
+          AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / greatest(1, least(a.x1 - a.x0, b.x1 - b.x0)) > 0.3)"""
+)
+def j10_anti_overlap(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    marked = b.groupBy("page", "line").agg(F.max(F.col("text").rlike("[,.]")).alias("marked"))
+    lines = layout.line_boxes(b, "page", "line").join(marked, ["page", "line"]).select("page", "line", "x0", (F.col("y0") - 15).alias("y0"), "x1", (F.col("y1") + 15).alias("y1"), "marked")
+    return layout.without_overlap(lines.filter("not marked").drop("marked"), lines.filter("marked").drop("marked"), "page", ["line"]).select("page", "line")
+
+
+@query()
+def j9_inserted_tokens(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    tokens = b.filter(F.col("text").rlike("^[A-Za-z]+$")).select("page", "text", "x0", "y0", "x1", "y1")
+    return layout.insert_tokens(tokens, layout.line_boxes(b, "page", "line").drop("text", "conf"), "page")
+
+
+@query()
+def j8_replaced_numbers(spark, sf_dir):
+    """A second reader that sees the digits of every number word, one word after the other."""
+    from verso.operators import numerals
+
+    words = boxes(spark, sf_dir).select("page", "text", "conf", "x0", "y0", "x1", "y1")
+    digits = values.digits_only(F.col("text"))
+    reads = words.withColumn("text", digits).filter("text <> ''").select(
+        "page", "text", F.lit(0.9).alias("prob"), F.lit(40.0).alias("line_h"), F.length("text").alias("n_digits"), "x0", "y0", "x1", "y1"
+    )
+    return numerals.replace_numbers(words, reads, "page", 0.5).filter("digit_prob is not null").select("page", "text", "x0")
+
+
+@query(
+    """SELECT provenance, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'none' WHEN contains(text, CASE WHEN toxic = 1 THEN 'the' ELSE 'zzz' END) THEN 'page' ELSE 'withheld' END AS provenance
+       FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY provenance"""
+)
+def j5_repair(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    notes = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "the").otherwise("zzz").alias("note"))
+    rows = audit.repair(docs.select("doc_id", "lang"), notes, docs.select("doc_id", "text"), "doc_id", "note", lambda v, page: F.contains(page, v))
+    return rows.groupBy("provenance").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""SELECT conv_id, turn, len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) AS changed
+        FROM (SELECT conv_id, turn, string_split(text, ' ') AS a, string_split(next, ' ') AS b FROM ({NEXT}) WHERE next IS NOT NULL)"""
+)
+def j14_diff_tokens(spark, sf_dir):
+    return next_turns(spark, sf_dir).select("conv_id", "turn", F.size(text.differing_tokens(F.split("text", " "), F.split("next", " "))).cast("long").alias("changed"))
+
+
+@query()
+def k7_matching_ratio(spark, sf_dir):
+    return next_turns(spark, sf_dir).select("conv_id", "turn", F.round(distance.matching_ratio(F.col("text"), F.col("next")), 9).alias("ratio"))
+
+
+@query()
+def k6_common_substring(spark, sf_dir):
+    return next_turns(spark, sf_dir).select("conv_id", "turn", distance.longest_common_substring(F.col("text"), F.col("next")).alias("common"))
+
+
+@query(
+    f"""SELECT word, len(list_distinct(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)))) AS deletions,
+        len(list_distinct(list_transform(list_filter(range(1, length(word)), lambda i: word[i] = word[i + 1]), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)))) AS doubled
+        FROM ({WORDS.format("conversations")})"""
+)
+def k8_candidates(spark, sf_dir):
+    return lower_words(table(spark, sf_dir, "conversations")).select(
+        "word", F.size(distance.deletions(F.col("word"))).cast("long").alias("deletions"), F.size(distance.doubled_deletions(F.col("word"))).cast("long").alias("doubled")
+    )
+
+
+@query(f"SELECT {SKELETON} AS skeleton, count(*) AS words FROM ({WORDS.format('documents')}) GROUP BY 1")
+def f5_skeletons(spark, sf_dir):
+    rows = lower_words(table(spark, sf_dir, "documents"))
+    return rows.groupBy(text.fold_groups(F.col("word"), LATIN_GROUPS).alias("skeleton")).agg(F.count(F.lit(1)).alias("words"))
+
+
+@query(
+    """SELECT script, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(c, '^\\s') THEN 'space' WHEN regexp_matches(c, '^[A-Za-z]') THEN 'latin' WHEN regexp_matches(c, '^\\p{Nd}') THEN 'digit'
+       WHEN regexp_matches(c, '^\\p{P}') THEN 'punct' ELSE 'other' END AS script FROM (SELECT unnest(string_split(text, '')) AS c FROM documents)) GROUP BY script"""
+)
+def f6_scripts(spark, sf_dir):
+    chars = table(spark, sf_dir, "documents").select(F.explode(F.array_remove(F.split("text", ""), "")).alias("c"))
+    counts = chars.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    return counts.groupBy(text.script_of(F.col("c")).alias("script")).agg(F.sum("k").alias("n"))
+
+
+@query("SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')) AS latin, sha256(array_to_string(regexp_extract_all(text, '[éèêçñßäöü]+'), ' ')) AS other FROM documents")
+def f12_reference_runs(spark, sf_dir):
+    run = lambda c: F.sha2(text.runs_of(F.col("text"), c), 256)
+    return table(spark, sf_dir, "documents").select("doc_id", run("[A-Za-z0-9]").alias("latin"), run("[éèêçñßäöü]").alias("other"))
+
+
+@query("SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS n FROM documents")
+def f13_token_sets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(text.tokens(F.col("text")))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, sha256(string_split(text, chr(10))[1]) AS head, length(text) - length(string_split(text, chr(10))[1]) - (CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END) AS rest FROM documents")
+def f15_head_and_rest(spark, sf_dir):
+    head, rest = text.head_and_rest(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(head, 256).alias("head"), F.length(rest).cast("long").alias("rest"))
+
+
+@query("SELECT kind, count(*) AS n, count(*) FILTER (high) AS high FROM (SELECT length(d) > 8 AS high, CASE WHEN length(d) >= 6 THEN 'long' ELSE 'short' END AS kind FROM (SELECT regexp_replace(unnest(regexp_extract_all(text, '(?:IR)?[0-9](?:[0-9,./\\-]*[0-9])?')), '\\D', '', 'g') AS d FROM documents) WHERE length(d) >= 3) GROUP BY kind")
+def v6_numeric_spans(spark, sf_dir):
+    spans = table(spark, sf_dir, "documents").select(F.explode(values.numeric_spans(F.col("text"))).alias("v")).select(F.length(values.digits_only(F.col("v"))).alias("n"))
+    return spans.groupBy(F.when(F.col("n") >= 6, "long").otherwise("short").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") > 8).alias("high"))
+
+
+@query("SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM benchmark")
+def io7_vocabulary(spark, sf_dir):
+    return lexicon.vocabulary(table(spark, sf_dir, "benchmark").select(F.lower("text").alias("word_norm")))
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY sha256('s' || doc_id), doc_id LIMIT 40")
+def io8_sampled_lookup(spark, sf_dir):
+    """A seeded sample of identifiers, looked up by a semi join."""
+    docs = table(spark, sf_dir, "documents")
+    ids = docs.select("doc_id").orderBy(F.sha2(F.concat(F.lit("s"), F.col("doc_id").cast("string")), 256), "doc_id").limit(40)
+    return docs.select("doc_id", "lang").join(ids, "doc_id", "left_semi")
+
+
+@query(f"WITH {BOXES} SELECT page, line, pos, row_number() OVER (PARTITION BY page ORDER BY (y0 + y1) / 2, x1 DESC, pos) AS place FROM boxes")
+def s4_reading_order(spark, sf_dir):
+    order = Window.partitionBy("page").orderBy((F.col("y0") + F.col("y1")) / 2, F.desc("x1"), "pos")
+    return boxes(spark, sf_dir).select("page", "line", "pos", F.row_number().over(order).alias("place"))
+
+
+@query("SELECT c FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents UNION SELECT DISTINCT unnest(string_split(text, '')) FROM conversations)")
+def u2_alphabet_union(spark, sf_dir):
+    chars = lambda n: table(spark, sf_dir, n).select(F.explode(F.array_distinct(F.array_remove(F.split("text", ""), ""))).alias("c"))
+    return chars("documents").unionByName(chars("conversations")).distinct()
+
+
+@query("SELECT text FROM documents INTERSECT SELECT text FROM conversations")
+def u3_intersection(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("text").intersect(table(spark, sf_dir, "conversations").select("text"))
+
+
+@query("SELECT pass, count(*) AS n FROM (SELECT 'a' AS pass FROM documents UNION ALL SELECT 'b' FROM conversations) GROUP BY pass")
+def u4_candidates(spark, sf_dir):
+    each = lambda n, p: table(spark, sf_dir, n).select(F.lit(p).alias("pass"))
+    return each("documents", "a").unionByName(each("conversations", "b")).groupBy("pass").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN b > a THEN 'second' ELSE 'first' END AS reading FROM (SELECT doc_id, len(regexp_extract_all(text, '[a-m]')) AS a, len(regexp_extract_all(text, '[n-z]')) AS b FROM documents)"""
+)
+def c10_better_reading(spark, sf_dir):
+    reading = lambda name, c: F.struct(F.lit(name).alias("name"), text.count_of(F.col("text"), c).alias("mass"))
+    return table(spark, sf_dir, "documents").select("doc_id", layout.better_reading(reading("first", "[a-m]"), reading("second", "[n-z]"))["name"].alias("reading"))
+
+
+@query(
+    """SELECT date_trunc('hour', ts) AS hour, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'view' THEN '404' ELSE 'failed' END AS status, count(*) AS n
+       FROM events GROUP BY ALL"""
+)
+def q2_status_counts(spark, sf_dir):
+    from verso.streaming import jobs
+
+    names = {"signup": "QUEUED", "click": "STARTED", "purchase": "SUCCESS", "view": "PENDING"}
+    state = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("event_type")), F.lit("FAILURE"))
+    counts = jobs.status_counts(table(spark, sf_dir, "events").select("ts", state.alias("state")))
+    return counts.select(F.col("window.start").alias("hour"), "status", "n")
