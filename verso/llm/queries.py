@@ -61,6 +61,27 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_run_index": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+             g AS (SELECT w.doc_id, w.i FROM w JOIN (SELECT k, min(doc_id) AS first FROM w GROUP BY k) USING (k) WHERE first < w.doc_id),
+             b AS (SELECT doc_id, unnest(range(length(h) // 2)) AS p, unnest(regexp_extract_all(h, '..')) AS x FROM d),
+             m AS (SELECT b.doc_id, p, x, coalesce(p - max(i) OVER (PARTITION BY b.doc_id ORDER BY p) < 50, false) AS gone FROM b LEFT JOIN g ON b.doc_id = g.doc_id AND p = i),
+             r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM m),
+             s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN s USING (doc_id)
+    """,
+    "op6_fm_index": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+             w AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 35], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 34)) AS i FROM d WHERE len(ws) >= 35)),
+             g AS (SELECT doc_id, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+             b AS (SELECT doc_id, unnest(range(len(ws))) AS p, unnest(ws) AS x FROM d),
+             m AS (SELECT b.doc_id, p, x, coalesce(p - max(i) OVER (PARTITION BY b.doc_id ORDER BY p) < 35, false) AS gone FROM b LEFT JOIN g ON b.doc_id = g.doc_id AND p = i),
+             r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM m),
+             s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(x, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+        SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN s USING (doc_id)
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
