@@ -75,3 +75,20 @@ def test_synthetic_values_are_valid_and_repeatable(spark):
     words = spark.createDataFrame([("سلام",), ("دارا",), ("abc",)], "w string")
     out = [r[0] for r in words.select(generators.stretch(F.col("w"), F.lit(3))).collect()]
     assert out[0].count("ـ") == 3 and out[0].replace("ـ", "") == "سلام" and out[1:] == ["دارا", "abc"]
+
+
+def test_pools_justification_and_settings(spark):
+    df = spark.range(4).select(generators.from_pools(F.col("id"), {"a": ["x", "y"], "b": ["1", "2", "3"]}).alias("p"))
+    assert [(r["p"]["a"], r["p"]["b"]) for r in df.collect()] == [("x", "1"), ("y", "2"), ("x", "3"), ("y", "1")]
+    line = spark.createDataFrame([("سلام بر شما",)], "t string")
+    out = line.select(generators.justify(F.col("t"), 20).alias("j"), generators.justify(F.col("t"), 3).alias("k")).first()
+    assert len(out["j"]) >= 20 and out["j"].replace("ـ", "") == "سلام بر شما" and out["k"] == "سلام بر شما"
+    keys = line.select(values.config_hash(F.struct(F.lit(1).alias("a"))), values.config_hash(F.struct(F.lit(2).alias("a")))).first()
+    assert len(keys[0]) == 16 and keys[0] != keys[1]
+
+
+def test_latest_checkpoint(spark):
+    from verso.sources.readers import latest_checkpoint
+
+    files = spark.createDataFrame([("a.checkpoint", 1), ("b.checkpoint", 3), ("c.txt", 9)], "name string, modified long")
+    assert latest_checkpoint(files).first()[0] == "b.checkpoint"

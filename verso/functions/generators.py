@@ -77,3 +77,18 @@ def stretch(word: Column, total: Column, seed: int = 41) -> Column:
     letters = F.filter(F.split(word, ""), lambda c: c != "")
     out = F.array_join(F.transform(letters, lambda c, i: F.concat(c, F.repeat(F.lit(KASHIDA), F.size(F.filter(chosen, lambda p: p == i))))), "")
     return F.when((F.size(spots) == 0) | (total <= 0), word).otherwise(out)
+
+
+def from_pools(row: Column, pools: dict[str, list[str]]) -> Column:
+    """A struct with one entry of each pool, by the row number modulo the pool's size."""
+    return F.struct(*(F.element_at(F.array(*map(F.lit, pool)), (F.pmod(row, F.lit(len(pool))) + 1).cast("int")).alias(name) for name, pool in pools.items()))
+
+
+def justify(text: Column, target: int, seed: int = 51) -> Column:
+    """A line stretched towards `target` characters: its words share the missing ones as stretching marks."""
+    parts = F.split(text, " ")
+    can = F.filter(F.transform(parts, lambda w, i: F.struct(i.alias("i"), F.size(kashida_positions(w)).alias("n"))), lambda s: s["n"] > 0)
+    need = F.lit(target) - F.length(text)
+    each = F.ceil(need / F.greatest(F.size(can), F.lit(1))).cast("int")
+    done = F.transform(parts, lambda w: stretch(w, each, seed))
+    return F.when((need <= 0) | (F.size(parts) < 2) | (F.size(can) == 0), text).otherwise(F.array_join(done, " "))

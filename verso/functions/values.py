@@ -166,3 +166,8 @@ def content_split(content: Column, share: int = 200) -> Column:
 def cache_key(content: Column, *settings: Column) -> Column:
     """SHA-256 over the content's own SHA-256 and the settings, joined by unit separators."""
     return F.sha2(F.concat(F.unhex(F.sha2(content, 256)), F.encode(F.concat_ws("\u001f", *settings), "UTF-8")), 256)
+
+
+def config_hash(settings: Column) -> Column:
+    """First 16 hex digits of the SHA-256 of a struct's JSON; callers give its fields in a fixed order."""
+    return F.substring(F.sha2(F.to_json(settings), 256), 1, 16)

@@ -84,3 +84,33 @@ def placement(rows: DataFrame, *keys: str) -> DataFrame:
         ratio(F.sum(F.col("_named") - F.col("_any")), F.sum("_n")).alias("assignment_loss"),
         ratio(F.count_if(F.col("_named") <= F.col("_n") * F.lit(0.5)), F.count(F.lit(1))).alias("placed"),
     )
+
+
+def page_score(gt: Column, pred: Column) -> dict[str, Column]:
+    """Character and word error, lengths and length ratio of one page."""
+    from verso.functions.distance import word_edits
+    from verso.functions.text import tokens
+
+    n, m, words = F.length(gt), F.length(pred), F.size(tokens(gt))
+    one = F.lit(1)
+    return {
+        "cer": F.bround(F.levenshtein(gt, pred) / F.greatest(n, one), 4),
+        "wer": F.bround(word_edits(gt, pred) / F.greatest(words, one), 4),
+        "gt_chars": n,
+        "pred_chars": m,
+        "gt_words": words,
+        "len_ratio": F.bround(m / F.greatest(n, one), 3),
+    }
+
+
+def reliability(rows: DataFrame, *keys: str, run: int = 20, loop: int = 60) -> DataFrame:
+    """Usable rate and degenerate output: rows whose longest run of one character or final loop is long.
+
+    `rows` has the keys, `usable`, `run` and `loop`.
+    """
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        ratio(F.count_if("usable"), F.count(F.lit(1))).alias("usable_rate"),
+        F.count_if(F.col("run") >= run).alias("degenerate_runs"),
+        F.count_if((F.col("run") < run) & (F.col("loop") >= loop)).alias("phrase_loops"),
+    )

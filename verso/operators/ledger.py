@@ -46,3 +46,10 @@ def gate(metrics: DataFrame, baseline: DataFrame, slack: Column, higher_is_bette
 def newest(rows: DataFrame, when: str, keep: int, tie: str) -> DataFrame:
     """The `keep` newest entries: those no older than the oldest of the newest, a top-k and a semi join."""
     return rows.orderBy(F.desc(when), tie).limit(keep)
+
+
+def against_earlier(now: DataFrame, before: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Metrics of a run with their change from an earlier one; keys that only one of them has keep no change."""
+    old = before.select(*keys, *(F.col(m).alias(f"_{m}") for m in metrics))
+    joined = now.join(old, keys, "left")
+    return joined.withColumns({f"d_{m}": F.bround(F.col(m) - F.col(f"_{m}"), 4) for m in metrics}).drop(*(f"_{m}" for m in metrics))

@@ -1370,3 +1370,37 @@ def q2_status_counts(spark, sf_dir):
     state = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("event_type")), F.lit("FAILURE"))
     counts = jobs.status_counts(table(spark, sf_dir, "events").select("ts", state.alias("state")))
     return counts.select(F.col("window.start").alias("hour"), "status", "n")
+
+
+@query(
+    f"""SELECT conv_id, turn, round_even(levenshtein(a, b) / greatest(length(a), 1), 4) AS cer, length(a) AS gt_chars, length(b) AS pred_chars, round_even(length(b) / greatest(length(a), 1), 3) AS len_ratio
+        FROM (SELECT conv_id, turn, {PLAIN.format("text")} AS a, {PLAIN.format("next")} AS b FROM ({NEXT}) WHERE next IS NOT NULL)"""
+)
+def a24_page_score(spark, sf_dir):
+    from verso.operators import fulltext
+
+    rows = next_turns(spark, sf_dir).select("conv_id", "turn", plain(F.col("text")).alias("a"), plain(F.col("next")).alias("b"))
+    score = fulltext.page_score(F.col("a"), F.col("b"))
+    return rows.select("conv_id", "turn", *(score[k].alias(k) for k in ("cer", "gt_chars", "pred_chars", "len_ratio")))
+
+
+@query()
+def a19_reliability(spark, sf_dir):
+    from verso.operators import fulltext
+
+    docs = table(spark, sf_dir, "documents")
+    runs = layout.longest_run(docs, "doc_id", "text").select("doc_id", "run")
+    rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").join(runs, "doc_id")
+    rows = rows.select("source", (F.coalesce("quality", F.lit(1)) == 1).alias("usable"), "run", layout.phrase_loop(F.col("text")).alias("loop"))
+    return fulltext.reliability(rows, "source")
+
+
+@query(
+    """WITH n AS (SELECT event_type, avg(value) AS mean FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1), b AS (SELECT event_type, avg(value) AS mean FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1)
+       SELECT event_type, round_even(n.mean, 4) AS mean, round_even(n.mean - b.mean, 4) AS d_mean FROM n LEFT JOIN b USING (event_type)"""
+)
+def j16_against_earlier(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    half = lambda late: e.filter((F.col("ts") >= "2024-01-15") == F.lit(late)).groupBy("event_type").agg(F.avg("value").alias("mean"))
+    out = ledger.against_earlier(half(True), half(False), ["event_type"], ["mean"])
+    return out.select("event_type", F.bround("mean", 4).alias("mean"), "d_mean")

@@ -150,3 +150,8 @@ def accepted_upload(content: Column, cap: int) -> Column:
     head = F.hex(F.substring(content, 1, 4))
     known = head.startswith("FFD8FF") | (head == "89504E47") | head.isin("49492A00", "4D4D002A") | (head == "25504446")
     return F.when(F.length(content) > cap, 413).when(~known, 400).otherwise(200)
+
+
+def latest_checkpoint(files: DataFrame) -> DataFrame:
+    """The checkpoint that was modified last; `files` is (name, modified)."""
+    return files.filter(F.col("name").endswith("checkpoint")).agg(F.max_by("name", F.struct("modified", "name")).alias("name")).filter("name is not null")
