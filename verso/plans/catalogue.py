@@ -53,7 +53,9 @@ def fields_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.withColumn("_lines", lines).select(
         F.col("doc_id").alias("doc"), "lang", "source", (F.coalesce("quality", F.lit(1)) == 1).alias("usable"), F.explode(pairs).alias("p")
     )
-    return rows.select("doc", "lang", "source", "usable", "p.field", (F.col("source") != "src7").alias("has_gt"), "p.gt", "p.pred")
+    rows = rows.select("doc", "lang", "source", "usable", "p.field", (F.col("source") != "src7").alias("has_gt"), "p.gt", "p.pred")
+    # Edit distances cost far more than the move: pairs are dealt evenly, and by document as later joins need them.
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
 
 
 PLAIN = "trim(regexp_replace(lower(regexp_replace(coalesce({0}, ''), '[^\\x00-\\x7F]', '?', 'g')), '[ \\t\\r\\f\\x0B]+', ' ', 'g'))"
