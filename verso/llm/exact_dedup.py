@@ -18,6 +18,36 @@ from verso.llm.common import without
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
+def _order(id_col: str, keep: str) -> Column:
+    return F.desc_nulls_last(id_col) if keep == "largest" else F.asc_nulls_last(id_col)
+
+
+def _runs(rows: DataFrame, id_col: str, text_col: str, keep: str, normalise, salts: int) -> DataFrame:
+    """Rows with their place, best identifier and size within the run of their text and salt, and the text's digest."""
+    norm = normalise(F.coalesce(F.col(text_col), F.lit("")))
+    # The salt comes last in the splitters, so only runs of one text are cut by it. Keys that cannot be
+    # null draw no null filters, which would keep the two uses of the exchange apart.
+    keyed = rows.withColumns(
+        {
+            "_head": F.left(norm, F.lit(32)),
+            "_digest": F.xxhash64(norm),
+            "_salt": F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"), F.lit(0)),
+        }
+    )
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = keyed.repartitionByRange(parts, "_head", "_digest", "_salt").withColumn("_norm", norm)
+    run = Window.partitionBy("_head", "_digest", "_salt", "_norm").orderBy(_order(id_col, keep))
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return sorted_rows.withColumns(
+        {
+            "_place": F.row_number().over(run),
+            "_best": F.first(id_col).over(whole),
+            "_size": F.count(F.lit(1)).over(whole),
+            "text_sha256": F.coalesce(F.sha2(F.col("_norm"), 256), F.lit("")),
+        }
+    ).drop("_norm", "_head", "_digest")
+
+
 def mark_exact_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -37,32 +67,10 @@ def mark_exact_duplicates(
     rows = without(df, *OUTPUT)
     if carry is not None:
         rows = rows.select(*carry, *(c for c in (id_col, text_col) if c not in carry))
-    extra = [c for c in rows.columns if carry is None or c in carry or c == id_col]
-    order: Column = F.desc_nulls_last(id_col) if keep == "largest" else F.asc_nulls_last(id_col)
+    names = {c: f"c{i}" for i, c in enumerate(rows.columns)}  # no column of any name is in the way
+    extra = [F.col(n).alias(c) for c, n in names.items() if carry is None or c in carry or c == id_col]
     pick = F.max if keep == "largest" else F.min
-
-    # The salt comes last in the splitters, so only runs of one text are cut by it. Keys that cannot be
-    # null draw no null filters, which would keep the two uses of the exchange apart.
-    sorted_rows = rows.withColumn("_norm", normalise(F.coalesce(F.col(text_col), F.lit("")))).withColumns(
-        {
-            "_head": F.left("_norm", F.lit(32)),
-            "_digest": F.xxhash64("_norm"),
-            "_salt": F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"), F.lit(0)),
-        }
-    )
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = sorted_rows.repartitionByRange(parts, "_head", "_digest", "_salt")
-    run = Window.partitionBy("_head", "_digest", "_salt", "_norm").orderBy(order)
-    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = sorted_rows.withColumns(
-        {
-            "_place": F.row_number().over(run),
-            "_best": F.first(id_col).over(whole),
-            "_size": F.count(F.lit(1)).over(whole),
-            "text_sha256": F.coalesce(F.sha2(F.col("_norm"), 256), F.lit("")),
-        }
-    ).drop("_norm", "_head", "_digest", *([] if text_col in extra else [text_col]))
-
+    marked = _runs(rows.toDF(*names.values()), names[id_col], names[text_col], keep, normalise, salts)
     # At most `salts` leaders of a text meet; they go back to the rows of their own salt only.
     leaders = marked.filter("_place = 1").select("text_sha256", "_salt", "_best", "_size")
     one_text = Window.partitionBy("text_sha256")
@@ -74,6 +82,17 @@ def mark_exact_duplicates(
     return marked.join(leaders, ["text_sha256", "_salt"]).select(*extra, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def drop_exact_duplicates(df: DataFrame, **options) -> DataFrame:
-    """The rows of `df` that stay, with its columns."""
-    return mark_exact_duplicates(df, **options).filter("kept").select(*df.columns)
+def drop_exact_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=lambda text: text, salts: int = 64
+) -> DataFrame:
+    """The rows of `df` that stay, with its columns, as mark_exact_duplicates keeps them.
+
+    Only the leaders of the runs go on, and of a text's leaders the best one stays.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]  # no column of any name is in the way
+    rows = df.toDF(*names)
+    ident, text = names[df.columns.index(id_col)], names[df.columns.index(text_col)]
+    leaders = _runs(rows, ident, text, keep, normalise, salts).filter("_place = 1")
+    best = Window.partitionBy("text_sha256").orderBy(_order(ident, keep))
+    kept = leaders.withColumn("_n", F.row_number().over(best)).filter("_n = 1")
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)))
