@@ -125,19 +125,25 @@ def super_windows(gram: np.ndarray, lens: np.ndarray, window: int, k: int) -> tu
         least, span = np.minimum(least[:-span], least[span:]), span * 2
     if span < w:
         least = np.minimum(least[: n - w + 1], least[w - span : w - span + n - w + 1])
-    firsts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    counts = np.maximum(lens - window + 1, 0)
-    at = np.arange(counts.sum()) + np.repeat(firsts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    if not len(at):
+    # Windows end inside their text: the last places of every text start none.
+    ends = np.cumsum(lens)
+    holds = np.zeros(len(least) + 1, dtype=np.int8)
+    long = lens >= window
+    np.add.at(holds, (ends - lens)[long], 1)
+    np.add.at(holds, (ends - window + 1)[long], -1)
+    valid = np.cumsum(holds[:-1], dtype=np.int8).view(bool)
+    breaks = ~valid
+    breaks[0] = True
+    breaks[1:] |= ~valid[:-1] | (least[1:] != least[:-1])
+    at = np.flatnonzero(breaks)
+    windows = np.diff(np.concatenate((at, [len(least)])))
+    kept = valid[at]
+    start, windows = at[kept], windows[kept]
+    if not len(start):
         return empty, empty, empty, empty.astype(np.uint64), empty
-    chosen = least[at]
-    new = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    start = at[new]
-    doc = np.searchsorted(firsts, start, side="right") - 1
-    # Texts without symbols share their first place with the next one; the last of them holds it.
-    symbols = np.diff(np.concatenate((new, [len(at)]))) + window - 1
-    anchor = (chosen[new] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return doc, start - firsts[doc], symbols, gram[anchor], anchor - start
+    doc = np.searchsorted(ends, start, side="right")
+    anchor = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return doc, start - (ends - lens)[doc], windows + window - 1, gram[anchor], anchor - start
 
 
 # ---- packing -----------------------------------------------------------------------------------
