@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from hashlib import sha256
 
@@ -63,6 +65,45 @@ def test_disclosing_terms_are_added(spark):
     assert all(found[100 + i]["spans"] == "" for i in range(60))
 
 
+def marked_terms(spark, texts):
+    found = pii.find(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    spans = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s] for r in found}
+    return [{texts[i][int(a) : int(b)] for k, a, b in spans[i] if k == "term"} for i in range(len(texts))]
+
+
+def test_terms_far_from_the_entity_short_ones_and_rows_without_it(spark):
+    filler = "the person wrote about the report today and nothing else was said by anyone here " * 4
+    both = [f"Ann Zanzibar 王明 {filler} {i} mail secret.one@mail.com" for i in range(4)]
+    alone = [f"{filler} then ANN and zanzibar met 王明, not Anna"]
+    found = marked_terms(spark, both + alone + [f"{filler} mail {i}" for i in range(59)])
+    assert found[:4] == [{"Ann", "Zanzibar", "王明"}] * 4
+    assert found[4] == {"ANN", "zanzibar", "王明"}
+    assert not any(found[5:])
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(5)
+    people = [[f"p{c}@x.org" for c in "abcdef"][i % 6] for i in range(12)]
+    texts = []
+    for i in range(80):
+        body = [rng.choice("alpha beta gamma delta li wu epsilon zeta eta theta iota kappa".split()) for _ in range(3)]
+        body += [f"{'qrstuv'[i % 6] * 2}"] if i < 12 or i in (30, 31) else []
+        texts.append(" ".join(body) + (" " + "x9 " * 60 + people[i] if i < 12 else ""))
+    texts.append(texts[0])
+    terms = [set(re.findall("[a-z]+", t)) for t in texts]
+    entities = [set(re.findall(r"p[a-f]@x\.org", t)) for t in texts]
+    n, telling = len(texts), set()
+    for e in set().union(*entities):
+        holds = [i for i in range(n) if e in entities[i]]
+        for t in set().union(*(terms[i] for i in holds)):
+            both = [i for i in holds if t in terms[i]]
+            n_t = sum(t in x for x in terms)
+            if len({texts[i] for i in both}) > 1 and math.log(n * len(both) / (n_t * len(holds))) >= 0.9 * math.log(n / len(holds)):
+                telling.add(t)
+    words = [set(re.findall("[a-z]+", re.sub(r"\S+@\S+", "", t))) for t in texts]
+    assert telling and marked_terms(spark, texts) == [w & telling for w in words]
+
+
 def test_sanitise(spark):
     df = table(spark, planted() + rows())
     out = pii.sanitise(df)

@@ -2,9 +2,9 @@
 
 Base spans come from four patterns. The entities they match are protected; corpus co-occurrence then
 estimates how much a term says about an entity: with N rows, pmi(t, e) = log(N n(t, e) / (n(t) n(e)))
-against the information of the entity itself, ic(e) = log(N / n(e)). A term near an entity whose
+against the information of the entity itself, ic(e) = log(N / n(e)). A term in a row with an entity whose
 pmi / ic reaches the disclosure threshold would let a reader recover the entity, so it becomes a span of
-its own, to be generalised or removed with the base spans. DataFrame functions only.
+its own in every row that has it, to be generalised or removed with the base spans. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ PATTERNS = {
 #: A cheap test that every text with a match passes.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: No protected term is shorter; letters only.
-TERM = r"\p{L}{4,}+"
+#: A term: a run of letters of any length.
+TERM = r"\p{L}++"
+#: Files that telling terms are written to, so that they are broadcast while small.
+FILES = 8
 SPAN = "array<struct<start:int,place:int,end:int,kind:string,found:string>>"
 
 
@@ -96,59 +98,68 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
+def _terms(text: Column) -> Column:
+    """Distinct folded terms of a text."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(found, lambda t: F.lower(t)))
+
+
 def find(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = 0.9,
     support: int = 2,
-    reach: int = 120,
 ) -> DataFrame:
     """Rows with all spans: id, text, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, _all.
 
-    A term is a run of four or more letters, folded to lower case, within `reach` code points of a base
-    span. It is disclosing if at least `support` different texts have it near the entity and
-    pmi / ic is at least `threshold`; counts are over all rows. It is marked wherever it stands as a
-    whole word in a row that has it near that entity, unless it overlaps a base span. Null texts count
-    as empty and have no spans; repeated rows count as rows and get equal results; null identifiers are
-    like any other; an empty table gives no rows.
+    A term is a run of letters of the row's text, folded to lower case. It is disclosing if at least
+    `support` different texts have it together with some entity and pmi / ic is at least `threshold`
+    for the two; counts are over all rows. It is marked wherever it stands as a whole word in any row,
+    unless it overlaps a base span. Null texts count as empty and have no spans; repeated rows count as
+    rows and get equal results; null identifiers are like any other; an empty table gives no rows.
+
+    As n(t, e) <= n(e), a disclosing term has n(t) <= N (n(e) / N)^threshold, so only terms that rare
+    are paired with an entity.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_key", F.xxhash64("_id", "_text"))
     found = rows.select("*", *(v.alias(k) for k, v in base_spans(F.col("_text")).items()))
     every = F.concat(*(F.col(f"_{k}") for k in KINDS))
     found = found.withColumn("_base", F.array_sort(every))
-    # Only rows with spans need their texts again.
+    # Of these texts only those with spans are needed again.
     table = staged(found.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))), "base-spans")
 
-    near = table.filter(F.size("_base") > 0).select("_key", F.xxhash64("_text").alias("_seen"), "_text", F.explode("_base").alias("s"))
-    left = F.col("_text").substr(F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach)))
-    right = F.col("_text").substr(F.col("s.end") + 1, F.lit(reach))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", left, right)), F.lit(TERM), F.lit(0)))
-    near = near.select("_key", "_seen", _entity(F.col("s")).alias("entity"), F.explode(terms).alias("term"))
-    near = staged(near.groupBy("_key", "_seen", "entity", "term").agg(F.lit(1).alias("one")).drop("one"), "near")
-
-    rows_of = table.groupBy("_key").agg(F.count(F.lit(1)).alias("rows"))  # repeated rows share a key
-    counted = near.join(rows_of, "_key")
-    entities = counted.select("_key", "entity", "rows").distinct().groupBy("entity").agg(F.sum("rows").alias("n_e"))
-    pairs = counted.groupBy("entity", "term").agg(F.sum("rows").alias("n_te"), F.approx_count_distinct("_seen", 0.01).alias("texts"))
-    pairs = pairs.filter(F.col("texts") >= support).drop("texts")
-    wanted = staged(pairs, "pairs")
-    vocabulary = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    occurs = vocabulary.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    # An inner join with distinct terms: a semi join would move below the counting and shuffle every word.
-    occurs = occurs.join(wanted.select("term").distinct(), "term")
     total = table.count()
-    # n(t) also counts rows where lower case folding changes the letters, so it is never below n(t, e).
-    pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    limit = lambda n_e: F.pow(n_e / float(max(total, 1)), F.lit(threshold)) * (total * (1 + 1e-9))
+
+    holding = table.filter(F.size("_base") > 0).withColumn("_seen", F.xxhash64("_text"))
+    each = holding.select("_key", "_seen", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity"))
+    by_text = each.groupBy("entity", "_seen").agg(F.count(F.lit(1)).alias("rows"))
+    entities = by_text.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    entities = staged(entities.filter((F.col("texts") >= support) & (F.col("n_e") < total)).drop("texts"), "entities")
+    most = entities.agg(F.max("n_e")).first()[0] or 0
+    occurs = rows.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    vocabulary = staged(occurs.filter((F.col("n_t") >= support) & (F.col("n_t") <= limit(F.lit(most)))), "vocabulary")
+
+    holders = staged(each.select("_key", "entity").distinct().join(entities, "entity"), "holders")
+    found_in = holding.select("_key", "_seen", F.explode(_terms(F.col("_text"))).alias("term")).join(vocabulary, "term")
+    pairs = found_in.join(holders, "_key").filter(F.col("n_t") <= limit(F.col("n_e")))
+    pairs = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te"), F.approx_count_distinct("_seen", 0.01).alias("texts"))
+    pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
-    telling = wanted.join(entities, "entity").join(occurs, "term").filter((ic > 0) & (pmi >= threshold * ic)).select("entity", "term")
-    marks = near.join(telling, ["entity", "term"]).groupBy("_key").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
-
-    joined = table.join(marks, "_key", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
-    extra = F.when(F.col("_terms").isNotNull(), spans_of(F.col("_text"), pattern, "term", len(KINDS))).otherwise(F.array().cast(SPAN))
-    joined = joined.withColumn("_extra", extra)
+    telling = pairs.filter((F.col("texts") >= support) & (pmi >= threshold * ic)).select("term").distinct()
+    telling = staged(telling.repartition(FILES), "telling")
+
+    # Telling terms in all rows, as they are written there.
+    forms = rows.select("_key", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))).alias("form"))
+    forms = forms.withColumn("term", F.lower("form")).join(telling, "term")
+    marks = staged(forms.groupBy("_key").agg(F.array_sort(F.collect_set("form")).alias("_forms")), "marks")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("_forms", "|"), F.lit(r")(?!\p{L})"))
+    extra = rows.join(marks, "_key").select("_key", spans_of(F.col("_text"), pattern, "term", len(KINDS)).alias("_extra"))
+    extra = extra.groupBy("_key").agg(F.first("_extra").alias("_extra"))  # repeated rows share a key
+
+    joined = table.drop("_text").join(extra, "_key", "left").withColumn("_extra", F.coalesce("_extra", F.array().cast(SPAN)))
     clear = F.filter("_extra", lambda t: ~F.exists("_base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     joined = joined.withColumn("_extra", clear).withColumn("_all", F.array_sort(F.concat("_base", "_extra")))
     return joined.select(
