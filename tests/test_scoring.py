@@ -64,6 +64,31 @@ def test_oracle_assignment(spark):
     assert found[99] == 0
 
 
+def test_oracle_assignment_of_many_fields(spark):
+    rng = random.Random(5)
+    word = lambda k=9: "".join(rng.choice("abc") for _ in range(rng.randint(1, k)))
+    rows = [(d, f"f{i:02}", True, word(), None if d == 3 and i % 5 == 0 else word(14), True) for d in range(4) for i in range(12)]
+    values = [f"{i} only value {i}" for i in range(12)]
+    rows += [(99, f"f{i:02}", True, values[i], values[-i - 1], True) for i in range(12)]
+    table = scoring.outcomes(spark.createDataFrame(rows, SCHEMA))
+    found = {r["doc"]: r["oracle_edits"] for r in scoring.oracle_edits(table, fields=8).collect()}
+
+    for d in {r[0] for r in rows}:
+        gts, preds = [r[3] for r in rows if r[0] == d], [r[4] for r in rows if r[0] == d and r[4]]
+
+        cost = [[lev(g, p) for p in preds] for g in gts]
+
+        @lru_cache(None)
+        def best(i, taken, gts=gts, cost=cost):
+            if i == len(gts):
+                return 0
+            rest = (c + best(i + 1, taken | 1 << j) for j, c in enumerate(cost[i]) if not taken >> j & 1)
+            return min([len(gts[i]) + best(i + 1, taken), *rest])
+
+        assert found[d] == best(0, 0)
+    assert found[99] == 0
+
+
 def test_word_edits_and_substrings(spark):
     pairs = [("a b c d", "a x c"), ("", "a"), ("x x y", "y x x"), ("eins zwei drei", "eins drei zwei vier")]
     df = spark.createDataFrame(pairs, "a string, b string")

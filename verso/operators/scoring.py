@@ -168,14 +168,78 @@ def multiset_hits(left: DataFrame, right: DataFrame, keys: list[str], item: str)
 def oracle_edits(rows: DataFrame, fields: int = 5) -> DataFrame:
     """Per document: fewest edits over all one-to-one assignments of predictions to ground-truth fields.
 
-    Costs of one document form a small matrix; the assignment is found over subsets of predictions,
-    folded one ground-truth field at a time. A field without a prediction costs its length.
+    A field without a prediction costs its length. Documents with up to `fields` predictions are solved
+    over subsets inside their row, those with more by the Hungarian method.
     """
+    kept = rows.filter(~is_blank(F.col("pred")))
+    many = kept.groupBy("doc").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > fields).select("doc")
+    few = _over_subsets(rows.join(many, "doc", "left_anti"))
+    return few.unionByName(_by_matching(rows.join(many, "doc", "left_semi")))
+
+
+def _least_assignment(cost):
+    """Smallest total of one column for each row, no column twice: Hungarian method; no more rows than columns."""
+    import numpy as np
+
+    n, m = cost.shape
+    u, v = np.zeros(n + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
+    row_of, way = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
+    most = np.iinfo(np.int64).max // 4
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        least, used = np.full(m + 1, most), np.zeros(m + 1, dtype=bool)
+        while True:
+            used[at] = True
+            here = np.concatenate([[most], cost[row_of[at] - 1] - u[row_of[at]] - v[1:]])
+            better = ~used & (here < least)
+            least[better], way[better] = here[better], at
+            to = int(np.argmin(np.where(used, most, least)))
+            step = least[to]
+            u[row_of[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            at = to
+            if row_of[at] == 0:
+                break
+        while at:
+            row_of[at] = row_of[way[at]]
+            at = way[at]
+    taken = np.flatnonzero(row_of[1:])
+    return int(cost[row_of[1:][taken] - 1, taken].sum())
+
+
+def _saved(pdf):
+    import numpy as np
+    import pandas as pd
+
+    g, j = pd.factorize(pdf["g"])[0], pd.factorize(pdf["j"])[0]
+    n = g.max() + 1
+    # Columns of zeros stand for fields that take no prediction.
+    cost = np.zeros((n, max(n, j.max() + 1)), dtype=np.int64)
+    cost[g, j] = pdf["change"]
+    return pd.DataFrame({"doc": pdf["doc"].iloc[:1], "saved": [_least_assignment(cost)]})
+
+
+def _by_matching(rows: DataFrame) -> DataFrame:
+    """Costs by a join, then one matrix per document; only pairs cheaper than no prediction take part."""
+    gts = rows.filter(F.col("gt_len") > 0)
+    preds = rows.filter(~is_blank(F.col("pred")))
+    numbered_gts = gts.select("doc", "gt", "gt_len", F.row_number().over(Window.partitionBy("doc").orderBy("field", "gt")).alias("g"))
+    numbered = preds.select("doc", "pred", F.row_number().over(Window.partitionBy("doc").orderBy("field", "pred")).alias("j"))
+    change = F.levenshtein("gt", "pred").cast("long") - F.col("gt_len")
+    pairs = numbered_gts.join(numbered, "doc").select("doc", "g", "j", change.alias("change")).filter("change < 0")
+    saved = pairs.groupBy("doc").applyInPandas(_saved, f"doc {rows.schema['doc'].dataType.simpleString()}, saved long")
+    total = gts.groupBy("doc").agg(F.sum("gt_len").alias("total"))
+    return total.join(saved, "doc", "left").select("doc", (F.col("total") + F.coalesce("saved", F.lit(0))).alias("oracle_edits"))
+
+
+def _over_subsets(rows: DataFrame) -> DataFrame:
+    """Costs of one document form a small matrix, folded one ground-truth field at a time over subsets of predictions."""
     gts = rows.filter(F.col("gt_len") > 0).select("doc", F.col("field").alias("g"), "gt", "gt_len")
     preds = rows.filter(~is_blank(F.col("pred"))).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("field", "pred"))).alias("preds"))
     costs = gts.join(preds, "doc", "left").withColumn("row", F.transform(F.coalesce("preds", F.array().cast("array<struct<field:string,pred:string>>")), lambda p: F.levenshtein("gt", p["pred"]).cast("long")))
     matrix = costs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("g", "gt_len", "row"))).alias("m"), F.max(F.size("row")).alias("k"))
-    size = F.pow(F.lit(2), F.least("k", F.lit(fields))).cast("int")
+    size = F.pow(F.lit(2), F.col("k")).cast("int")
     big = F.lit(1 << 40).cast("long")
 
     def fold(best: Column, line: Column) -> Column:
