@@ -81,6 +81,13 @@ def test_terms_far_from_the_entity_short_ones_and_rows_without_it(spark):
     assert not any(found[5:])
 
 
+def test_two_texts_are_told_apart(spark):
+    # A distinct count by sketches takes the hashes of these two texts for one.
+    both = [f"zork sits here {i} x@y.org" for i in (0, 15053)]
+    found = marked_terms(spark, both + [f"nothing of note was said by anyone {i}" for i in range(60)])
+    assert found[:2] == [{"zork", "sits", "here"}] * 2 and not any(found[2:])
+
+
 def test_terms_against_brute_force(spark):
     rng = random.Random(5)
     people = [[f"p{c}@x.org" for c in "abcdef"][i % 6] for i in range(12)]

@@ -145,7 +145,8 @@ def find(
     holders = staged(each.select("_key", "entity").distinct().join(entities, "entity"), "holders")
     found_in = holding.select("_key", "_seen", F.explode(_terms(F.col("_text"))).alias("term")).join(vocabulary, "term")
     pairs = found_in.join(holders, "_key").filter(F.col("n_t") <= limit(F.col("n_e")))
-    pairs = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te"), F.approx_count_distinct("_seen", 0.01).alias("texts"))
+    pairs = pairs.groupBy("entity", "term", "n_t", "n_e", "_seen").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.sum("rows").alias("n_te"), F.count(F.lit(1)).alias("texts"))
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     telling = pairs.filter((F.col("texts") >= support) & (pmi >= threshold * ic)).select("term").distinct()
