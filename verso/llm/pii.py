@@ -157,7 +157,8 @@ def find(
     forms = forms.withColumn("term", F.lower("form")).join(telling, "term")
     marks = staged(forms.groupBy("_key").agg(F.array_sort(F.collect_set("form")).alias("_forms")), "marks")
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("_forms", "|"), F.lit(r")(?!\p{L})"))
-    extra = rows.join(marks, "_key").select("_key", spans_of(F.col("_text"), pattern, "term", len(KINDS)).alias("_extra"))
+    # By merge at any size, so that the disk in use grows with the input alone.
+    extra = rows.join(marks.hint("merge"), "_key").select("_key", spans_of(F.col("_text"), pattern, "term", len(KINDS)).alias("_extra"))
     extra = extra.groupBy("_key").agg(F.first("_extra").alias("_extra"))  # repeated rows share a key
 
     joined = table.drop("_text").join(extra, "_key", "left").withColumn("_extra", F.coalesce("_extra", F.array().cast(SPAN)))
