@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verso.llm import exact_dedup, mixing, packing, quality_rules, simhash
-from verso.llm.common import documents, staged
+from verso.llm.common import documents, scratch, staged
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`; the result of the last."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as used:
+            docs = staged(stage(spark, docs, sf_dir), name)
+            after = used.pop()  # the stage's own output stays until the next one is written
+            used += [before] if before else []
+            before = after
     return docs

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, fp string, _text string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, fp string, _text string, _key string, _copies string, _rows string, _all string, row_key string, _id string"
 
 
 def words(rng, n, sizes=(3, 9)):
@@ -36,7 +36,7 @@ def rows(seed=1, n=60):
 def table(spark, data=None):
     """The documents with extra columns whose names clash with those that operators use."""
     data = rows() if data is None else data
-    return spark.createDataFrame([(*r, "k", "s", "f", "t") for r in data], SCHEMA).repartition(5)
+    return spark.createDataFrame([(*r, "k", "s", "f", "t", "key", "c", "r", "a", "rk", "i") for r in data], SCHEMA).repartition(5)
 
 
 def empty(spark):

@@ -99,10 +99,26 @@ def test_vantage_tree_loses_no_pair():
     assert [root(i) for i in range(len(points))] == components([int(p) for p in points])
 
 
+def test_trees_prune_and_keep_every_pair():
+    rng = np.random.default_rng(8)
+    points = np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 6000).astype(np.uint64))
+    near = points[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
+    points = np.unique(np.concatenate((points, near)))
+    met = np.zeros((len(points), len(points)), dtype=bool)
+    for mask, reach in S._halves(3):
+        tree = S.grow(points[::4], mask, reach, leaf=64)
+        assert tree.leaves > 10
+        for _, ids in S.route(tree, points):
+            assert len(ids) < len(points) / 4
+            met[np.ix_(ids, ids)] = True
+    close = np.bitwise_count(points[:, None] ^ points) <= 3
+    assert close.sum() > len(points) + 2000 and met[close].all()
+
+
 def test_keep_first(spark):
     df = table(spark)
     kept = S.keep_first(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {r["_key"] for r in kept.collect()} == {"key"}
     groups = S.near_duplicates(df).select(F.coalesce("component_id", F.lit(-1))).distinct().count()
     assert kept.count() == groups
     assert S.near_duplicates(empty(spark)).count() == 0 and S.keep_first(empty(spark)).count() == 0

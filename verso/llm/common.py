@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,21 +15,53 @@ BLANK = r"\x20\x09-\x0D"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="verso-"))
     return jsc.getCheckpointDir().get()
 
 
+#: Paths of the tables staged inside each `scratch` block that is open.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Staged tables written inside the block go at its end, but for those taken off the list that it gives."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCRATCH.pop()
+        for path in paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table in whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`staged`, and the table's path."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/verso/{uuid.uuid4().hex}/{name}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def let(value: Column, body) -> Column:
@@ -51,5 +85,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def numbered(df: DataFrame, *wanted: str) -> tuple:
+    """`df` with its columns named by number, so that none is in an operator's way, and the new names of `wanted`."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), *(names[df.columns.index(c)] for c in wanted)
+
+
+def as_given(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of `df` out of rows of `numbered`, by their old names."""
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

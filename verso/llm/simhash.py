@@ -1,18 +1,21 @@
 """SimHash near-duplicates through vantage-point trees.
 
-Fingerprints that differ in at most `radius` bits agree in at least one of radius + 1 blocks of bits.
-Each block has a vantage-point tree over the Hamming distance of that block, in which such a pair is
-within distance 0: by the triangle bound both points stand on the same side of every vantage point
-and so reach one shard. Inside a shard the points of a leaf (one block value) are compared on all
-64 bits; a large leaf is divided by further vantage points on the whole fingerprint, and points whose
-distance lies within `radius` beyond the median go to both sides, so that no pair is lost.
-
-Shards return links that span their groups, never all pairs. Texts with one fingerprint are one class.
+Of two fingerprints within `radius` bits, one of the two halves (32 bits each) differs in at most
+radius // 2 bits. Each half has a vantage-point tree over its Hamming distance, grown on a bounded
+sample of the fingerprints: a node cuts at the median distance to its vantage point. By the triangle
+bound a partner of a point stands at most radius // 2 bits nearer to or farther from the vantage point, so points
+just beyond the cut are sent down both sides and no pair is lost; all other branches are pruned. The
+leaves are the shards: they hold every point of their region and of its boundary, and find their pairs
+on all 64 bits with a deeper tree of the same kind.
+
+Shards return links that span their groups, never all pairs of a dense one. Texts with one fingerprint
+are one class. The sample only shapes the tree; whatever it is, the links are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.llm.common import staged, without
+from verso.llm.common import as_given, numbered, staged
 from verso.llm.components import connected_components
 
 UPPER = bytes(range(65, 91))
@@ -63,19 +66,77 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInPandas(_fingerprints, f"_id {kind}, fp long")
 
 
-def _blocks(width: int, blocks: int) -> list[tuple[int, int]]:
-    """(shift, mask) of each block of bits."""
-    edges = [round(i * width / blocks) for i in range(blocks + 1)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+def half_distance(points: np.ndarray, vantage: int, mask: int) -> np.ndarray:
+    return np.bitwise_count((points ^ np.uint64(vantage)) & np.uint64(mask)).astype(np.int64)
 
 
-def vantage_path(values: np.ndarray, block: int, bits: int, depth: int) -> np.ndarray:
-    """Sides that block values take at `depth` vantage points: the shard of each value."""
-    rng = np.random.default_rng(1000 + block)
-    path = np.zeros(len(values), dtype=np.int64)
-    for point in rng.integers(0, 1 << bits, size=depth, dtype=np.uint64):
-        path = path * 2 + (np.bitwise_count(values ^ point) * 2 > bits)
-    return path
+def _halves(radius: int) -> list[tuple[int, int]]:
+    """(mask, radius) of the two searches: a pair within `radius` is within radius // 2 in one half."""
+    low = (1 << 32) - 1
+    return [(low, radius // 2), (low << 32, radius // 2)]
+
+
+def _cut(points: np.ndarray, mask: int, radius: int, tries: int = 4) -> tuple[int, int] | None:
+    """Vantage point and cut of a node, the best of a few points of its own; None if none prunes a tenth of the points."""
+    best, least = None, 0.9 * len(points)
+    for vantage in points[np.linspace(0, len(points) - 1, tries).astype(int)].tolist():
+        distance = half_distance(points, vantage, mask)
+        middle = int(np.median(distance))
+        for cut in (middle, middle - 1):
+            larger = max(int(np.count_nonzero(distance <= cut + radius)), int(np.count_nonzero(distance > cut)))
+            if larger < least:
+                best, least = (vantage, cut), larger
+    return best
+
+
+@dataclass
+class Tree:
+    """Inner nodes as (vantage point, cut, near, far); a negative child is leaf -child - 1."""
+
+    mask: int
+    radius: int
+    nodes: list[tuple[int, int, int, int]]
+    leaves: int
+
+
+def grow(sample: np.ndarray, mask: int, radius: int, leaf: int) -> Tree:
+    """Vantage-point tree whose leaves hold about `leaf` points of the sample."""
+    nodes: list[tuple[int, int, int, int]] = []
+    leaves = 0
+
+    def node(points: np.ndarray) -> int:
+        nonlocal leaves
+        found = _cut(points, mask, radius) if len(points) > leaf else None
+        if found is None:
+            leaves += 1
+            return -leaves
+        at = len(nodes)
+        nodes.append((0, 0, 0, 0))
+        distance = half_distance(points, found[0], mask)
+        near = node(points[distance <= found[1] + radius])
+        nodes[at] = (*found, near, node(points[distance > found[1]]))
+        return at
+
+    root = node(sample)
+    return Tree(mask, radius, nodes if root >= 0 else [], leaves)
+
+
+def route(tree: Tree, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, indexes of the points that reach it): points within the radius beyond a cut reach both sides."""
+    if not tree.nodes:
+        yield 0, np.arange(len(points))
+        return
+    stack = [(0, np.arange(len(points)))]
+    while stack:
+        at, ids = stack.pop()
+        if at < 0:
+            yield -at - 1, ids
+            continue
+        vantage, cut, near, far = tree.nodes[at]
+        distance = half_distance(points[ids], vantage, tree.mask)
+        for child, side in ((near, distance <= cut + tree.radius), (far, distance > cut)):
+            if side.any():
+                stack.append((child, ids[side]))
 
 
 def _spanning(points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -94,95 +155,93 @@ def _spanning(points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndar
     return links
 
 
-def _links_of_leaf(points: np.ndarray, radius: int, leaf: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs that connect all points within `radius`, found by a vantage-point tree."""
-    links, stack = [], [np.arange(len(points))]
+def _links_of_few(points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a small leaf: its pairs where they are few, a walk over the points that have any otherwise."""
+    close = np.bitwise_count(points[:, None] ^ points) <= radius
+    close[np.tril_indices(len(points))] = False
+    a, b = np.nonzero(close)
+    if len(a) <= 4 * len(points):
+        return [(a, b)]
+    own = np.unique(np.concatenate((a, b)))
+    return [(own[i], own[j]) for i, j in _spanning(points[own], radius)]
+
+
+def _links_of_leaf(points: np.ndarray, radius: int, leaf: int = 512, mask: int = (1 << 64) - 1, reach: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that connect all points that are within `radius`, and within `reach` under `mask`.
+
+    The deeper tree splits on `mask`; where that prunes nothing more, it goes on over all 64 bits.
+    """
+    whole = (1 << 64) - 1
+    links, stack = [], [(np.arange(len(points)), mask, radius if reach is None else reach)]
     while stack:
-        ids = stack.pop()
-        if len(ids) > leaf:
-            distance = np.bitwise_count(points[ids] ^ points[ids[len(ids) // 2]]).astype(np.int64)
-            middle = int(np.median(distance))
-            # Triangle bound: a partner of a far point is at most `radius` nearer to the vantage point.
-            near, far = ids[distance <= middle + radius], ids[distance > middle]
-            if max(len(near), len(far)) < 0.9 * len(ids):
-                stack += [near, far]
-                continue
-        links += [(ids[i], ids[j]) for i, j in _spanning(points[ids], radius)]
+        ids, bits, width = stack.pop()
+        if len(ids) <= leaf:
+            links += [(ids[i], ids[j]) for i, j in _links_of_few(points[ids], radius)]
+            continue
+        found = _cut(points[ids], bits, width)
+        if found is not None:
+            distance = half_distance(points[ids], found[0], bits)
+            stack += [(ids[distance <= found[1] + width], bits, width), (ids[distance > found[1]], bits, width)]
+        elif bits != whole:
+            stack.append((ids, whole, radius))
+        else:
+            links += [(ids[i], ids[j]) for i, j in _spanning(points[ids], radius)]
     return links
 
 
-def _shard_links(radius: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["fp"].to_numpy(), pdf["value"].to_numpy(), pdf["block"].to_numpy()))
-        block, value = pdf["block"].to_numpy()[order], pdf["value"].to_numpy()[order]
-        points = pdf["fp"].to_numpy()[order].view(np.uint64)
-        new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (value[1:] != value[:-1]))))
-        sizes = np.diff(np.concatenate((new, [len(points)])))
-        group = np.repeat(np.arange(len(new)), sizes)
-        a, b = [], []
-        small = sizes[group] <= 16
-        for step in range(1, 16):  # leaves of up to 16 points: each with its next ones
-            i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if step < len(points) else np.empty(0, int)
-            if not len(i):
-                break
-            i = i[np.bitwise_count(points[i] ^ points[i + step]) <= radius]
-            a.append(points[i]), b.append(points[i + step])
-        for g in np.flatnonzero(sizes > 16):
-            own = points[new[g] : new[g] + sizes[g]]
-            for i, j in _links_of_leaf(own, radius):
-                a.append(own[i]), b.append(own[j])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (a, b))
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).drop_duplicates()
+def _routed(trees, batch: int = 1 << 16):
+    """The shards of every fingerprint: a leaf of each tree, or more where it stands at a boundary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+            fp = np.concatenate(parts)
+            for k, tree in enumerate(trees.value):
+                for leaf, ids in route(tree, fp.view(np.uint64)):
+                    yield pd.DataFrame({"half": np.full(len(ids), k, np.int32), "leaf": np.full(len(ids), leaf, np.int32), "fp": fp[ids]})
+
+        parts, held = [], 0
+        for pdf in batches:
+            parts.append(pdf["fp"].to_numpy())
+            held += len(pdf)
+            if held >= batch:
+                yield pd.concat(out(parts), ignore_index=True)
+                parts, held = [], 0
+        if held:
+            yield pd.concat(out(parts), ignore_index=True)
 
     return run
 
 
-def _keyed(radius: int, depth: int, inner: bool):
-    cuts = _blocks(64, radius + 1)
+def _shard_links(radius: int):
+    halves = _halves(radius)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = pdf["fp"].to_numpy()
-            bits = fp.view(np.uint64)
-            for k, (shift, mask) in enumerate(cuts):
-                value = (bits >> np.uint64(shift)) & np.uint64(mask)
-                path = vantage_path(value, k, int(mask).bit_length(), depth)
-                if not inner:
-                    yield pd.DataFrame({"block": k, "value": value.astype(np.int64), "path": path, "fp": fp})
-                    continue
-                # A crowded leaf: the other bits are cut into blocks again.
-                wide = int(mask).bit_length()
-                above = bits >> np.uint64(shift + wide) if shift + wide < 64 else np.zeros_like(bits)
-                rest = (bits & np.uint64((1 << shift) - 1)) | (above << np.uint64(shift))
-                for j, (s2, m2) in enumerate(_blocks(64 - wide, radius + 1)):
-                    sub = (rest >> np.uint64(s2)) & np.uint64(m2)
-                    yield pd.DataFrame({"block": k, "value": value.astype(np.int64), "path": path, "fp": fp, "sub": j, "sub_value": sub.astype(np.int64)})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = pdf["fp"].to_numpy().view(np.uint64)
+        mask, reach = halves[int(pdf["half"].iloc[0])]
+        found = _links_of_leaf(points, radius, mask=mask, reach=reach)
+        a, b = (np.concatenate([points[x[k]] for x in found]) if found else np.empty(0, np.uint64) for k in (0, 1))
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).drop_duplicates()
 
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = 3, depth: int = 16, crowded: int = 4096) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 3, crowded: int = 4096, sample: int = 32_768) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that connect all within `radius` bits.
 
-    Leaves with more than `crowded` points are cut once more by the blocks of their other bits, so
-    that a dense neighbourhood is dealt over many tasks as well.
+    The trees are grown on the driver from about `sample` fingerprints (a range of their hash), and
+    their leaves hold about `crowded` points as long as the sample can tell; larger leaves are divided
+    by a deeper tree inside their task.
     """
     spark = distinct.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = distinct.select("fp").mapInPandas(_keyed(radius, depth, False), "block int, value long, path long, fp long")
-    shard = F.pmod(F.xxhash64("block", "path"), F.lit(parts * 4))
-    sizes = keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded)
-    large = staged(sizes.select("block", "value"), "crowded")
-    plain = keyed.join(large, ["block", "value"], "left_anti").select("block", "value", "fp", shard.alias("shard"))
-    links = plain.groupBy("shard").applyInPandas(lambda pdf: _shard_links(radius)(pdf), "a long, b long")
-    again = distinct.select("fp").mapInPandas(
-        _keyed(radius, depth, True), "block int, value long, path long, fp long, sub int, sub_value long"
-    )
-    again = again.join(large, ["block", "value"], "left_semi").select(
-        (F.col("block") * 16 + F.col("sub")).alias("block"), F.xxhash64("value", "sub_value").alias("value"), "fp"
-    )
-    again = again.withColumn("shard", F.pmod(F.xxhash64("block", "value"), F.lit(parts * 4)))
-    return links.union(again.groupBy("shard").applyInPandas(lambda pdf: _shard_links(radius)(pdf), "a long, b long"))
+    total = distinct.count()
+    share = min(1.0, sample / max(1, total))
+    place = F.pmod(F.xxhash64(F.lit(9), "fp"), F.lit(1 << 30))
+    taken = distinct.filter(place < F.lit(int(share * (1 << 30)))).select("fp").toPandas()["fp"].to_numpy(dtype=np.int64)
+    shape = np.sort(taken.view(np.uint64))
+    leaf = max(4, int(crowded * len(shape) / max(1, total)))
+    trees = spark.sparkContext.broadcast([grow(shape, mask, reach, leaf) for mask, reach in _halves(radius)])
+    routed = distinct.select("fp").mapInPandas(_routed(trees), "half int, leaf int, fp long")
+    return routed.groupBy("half", "leaf").applyInPandas(lambda pdf: _shard_links(radius)(pdf), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
@@ -205,12 +264,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """One row of each near-duplicate group of `df` stays: that with the smallest identifier; columns as given.
 
-    Rows that repeat an identifier are told apart by their text; of fully repeated rows one stays.
+    Null texts count as empty, and all texts without words are one group with whatever is near to it.
+    Null identifiers come last. Rows that repeat an identifier are told apart by their text; of fully
+    repeated rows one stays. An empty table gives no rows.
     """
-    keyed = without(df, "_key").withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    found = near_duplicates(keyed.select("_key", text_col), "_key", text_col, radius)
+    rows, ident, text = numbered(df, id_col, text_col)
+    keyed = rows.withColumn("_key", F.xxhash64(F.col(ident), F.coalesce(F.col(text), F.lit(""))))
+    found = near_duplicates(keyed.select("_key", text), "_key", text, radius)
     # Keys stand for rows; the smallest identifier of each component names the key that stays.
-    ids = keyed.select("_key", F.col(id_col).alias("_own")).join(found.select("_key", "component_id").distinct(), "_key")
+    ids = keyed.select("_key", F.col(ident).alias("_own")).join(found.select("_key", "component_id").distinct(), "_key")
     first = ids.groupBy("component_id").agg(F.min_by("_key", F.struct(F.col("_own").isNull(), F.col("_own"), F.col("_key"))).alias("_key"))
-    kept = keyed.join(first.select("_key"), "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*df.columns)
+    kept = keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return as_given(kept, df)
