@@ -13,7 +13,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verso.llm.common import BLANK, staged, without
+from verso.llm.common import BLANK, as_given, numbered, staged
 
 #: The flow graph is solved on the driver; more patterns than this raise an error.
 MAX_PATTERNS = 100_000
@@ -39,6 +39,23 @@ def targets(sizes: dict[str | None, int], most: float = 3.0) -> dict[str | None,
     return found
 
 
+def flows_of(capacity: list[int], members: list[list[int]], quota: list[int], repeats: int = 3) -> list[list[tuple[int, int]]]:
+    """The min-cost flow; a source that is a pattern of its own and part of no other needs no search."""
+    uses = [0] * len(quota)
+    for ms in members:
+        for s in ms:
+            uses[s] += 1
+    alone = [len(ms) == 1 and uses[ms[0]] == 1 for ms in members]
+    out: list[list[tuple[int, int]]] = [[(ms[0], min(quota[ms[0]], repeats * capacity[p]))] if alone[p] else [] for p, ms in enumerate(members)]
+    rest = [p for p in range(len(members)) if not alone[p]]
+    open_ = sorted({s for p in rest for s in members[p]})
+    number = {s: i for i, s in enumerate(open_)}
+    found = min_cost_flow([capacity[p] for p in rest], [[number[s] for s in members[p]] for p in rest], [quota[s] for s in open_], repeats)
+    for p, sent in zip(rest, found, strict=True):
+        out[p] = [(open_[s], words) for s, words in sent]
+    return out
+
+
 def min_cost_flow(capacity: list[int], members: list[list[int]], quota: list[int], repeats: int = 3) -> list[list[tuple[int, int]]]:
     """Words that each pattern sends to each source: [(source, words), ...] per pattern.
 
@@ -118,7 +135,7 @@ def _plan(spark: SparkSession, table: DataFrame, most: int) -> DataFrame:
     wanted = targets(sizes, float(most))
     # Overlapping members count in each of their sources; quotas then share all words once.
     goal = [int(round(wanted[s])) for s in names]
-    flows = min_cost_flow([r["size"] for r in rows], [[number[s] for s in r["members"]] for r in rows], goal, most)
+    flows = flows_of([r["size"] for r in rows], [[number[s] for s in r["members"]] for r in rows], goal, most)
     out = []
     for r, sent in zip(rows, flows, strict=True):
         words = sum(w for _, w in sent)
@@ -202,13 +219,26 @@ def mix(
     )
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **options) -> DataFrame:
-    """The rows of `df`, each as many times as the mix takes it; columns as given."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    taken = mix(df, id_col, text_col, seed=seed, **options)
-    # Rows with one identifier and one text share a key: their copies are added up and dealt out evenly.
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, **options) -> DataFrame:
+    """The rows of `df`, each as many times as the mix takes it; columns as given.
+
+    Rows with one identifier and one text (null counting as empty) are told apart by nothing that the mix
+    sees: the copies that it takes of them are dealt out evenly, and the first ones get what is left
+    over. Empty texts are taken as often as their place in the order says. An empty table gives no rows.
+    """
+    rows, ident, text, source = numbered(df, id_col, text_col, source_col)
+    taken = mix(rows, ident, text, source, seed=seed, **options)
     totals = taken.groupBy("row_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    keyed = without(df, "_key", "_copies", "_rows").withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col), text))
-    joined = keyed.join(totals, F.col("_key") == F.col("row_key"))
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(1), each))).select(*df.columns)
+    keyed = rows.withColumn("row_key", F.xxhash64(F.lit(seed), F.col(ident), F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(totals.filter("_copies > 0"), "row_key")
+    single, twins = joined.filter("_rows = 1"), joined.filter("_rows > 1")
+    # Rows that are equal in every column are one row with a count, so that no key is gathered in one task.
+    hashed = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in rows.dtypes]
+    equal = twins.groupBy("row_key", "_copies", "_rows", F.xxhash64(*hashed).alias("_same"))
+    equal = equal.agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rows.columns)).alias("_row"))
+    upto = F.sum("_n").over(Window.partitionBy("row_key").orderBy("_same"))
+    least, over = F.floor(F.col("_copies") / F.col("_rows")), F.col("_copies") % F.col("_rows")
+    more = F.greatest(F.least(upto, over) - F.least(upto - F.col("_n"), over), F.lit(0))
+    dealt = equal.select("_row.*", (least * F.col("_n") + more).alias("_times"))
+    every = single.withColumn("_times", F.col("_copies")).select(*rows.columns, "_times").unionByName(dealt)
+    return as_given(every.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))), df)
