@@ -48,6 +48,14 @@ def test_base_spans(spark):
         assert any(brute(t) == [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]] for t in texts[r["doc_id"]])
 
 
+def test_very_many_spans(spark):
+    texts = [" ".join(f"u{i}@m{i % 7}.org" for i in range(n)) for n in (255, 256, 257, 3000)]
+    found = {r["doc_id"]: r for r in pii.find(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        r = found[i]
+        assert brute(t) == [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]]
+
+
 def planted():
     near = [(i, f"the person zanzibar wrote from secret.one@mail.com about report number {i} today", "en", "s", 1) for i in range(4)]
     far = [(100 + i, f"the person wrote about report number {i} today and nothing else was said by anyone here", "en", "s", 1) for i in range(60)]
@@ -115,6 +123,7 @@ def test_sanitise(spark):
     df = table(spark, planted() + rows())
     out = pii.sanitise(df)
     assert out.columns == df.columns and out.count() == df.count()
+    assert {(r["_key"], r["_all"]) for r in out.collect()} == {("key", "a")}
     texts = [r["text"] for r in out.filter("doc_id < 4 and text like '%EMAIL%'").collect()]
     assert texts and all("secret" not in t and "zanzibar" not in t and "<TERM>" in t for t in texts)
     assert pii.find(empty(spark)).count() == 0 and pii.sanitise(empty(spark)).count() == 0

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verso.llm.common import staged, without
+from verso.llm.common import as_given, let, numbered, staged
 
 #: Fixed patterns of the base kinds, in their listed order. Runs are possessive and start at a run's
 #: first character or behind the last match, which finds the same leftmost matches in linear time.
@@ -30,6 +30,8 @@ BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}++"
 #: Files that telling terms are written to, so that they are broadcast while small.
 FILES = 8
+#: Matches whose spans are gathered before they are appended to those of the text.
+BLOCK = 256
 SPAN = "array<struct<start:int,place:int,end:int,kind:string,found:string>>"
 
 
@@ -64,7 +66,6 @@ def spans_of(text: Column, pattern: Column | str, kind: str, place: int, valid=N
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
     found, between = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("found"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def add(acc: Column, pair: Column) -> Column:
         first = acc["at"] + F.length(pair["gap"])
@@ -75,7 +76,20 @@ def spans_of(text: Column, pattern: Column | str, kind: str, place: int, valid=N
             out = F.when(valid(pair["found"]), out).otherwise(acc["out"])
         return F.struct(last.alias("at"), out.alias("out"))
 
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    def start(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def in_blocks(every: Column) -> Column:
+        """Spans of `BLOCK` matches at a time, so that a text with very many copies no long array at each of them."""
+        blocks = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int"))
+
+        def join(acc: Column, block: Column) -> Column:
+            own = F.aggregate(F.slice(every, block * BLOCK + 1, F.lit(BLOCK)), start(acc["at"]), add)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], o["out"]).alias("out")))
+
+        return F.when(F.size(every) > 0, F.aggregate(blocks, start(F.lit(0)), join, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+
+    return let(pairs, in_blocks)
 
 
 def _joined(spans: Column) -> Column:
@@ -179,20 +193,24 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", remo
     """`df` with its texts sanitised: base spans become <KIND>, disclosing terms <TERM> or nothing.
 
     Overlapping spans are generalised to the first of them. Null texts stay null; other columns and
-    repeated rows stay as they are.
+    repeated rows stay as they are; an empty table gives no rows.
     """
-    found = find(df, id_col, text_col, **options).filter(F.size("_all") > 0).groupBy("_key").agg(F.first("_all").alias("_all"))
-    keyed = without(df, "_key", "_all").withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    rows, ident, text = numbered(df, id_col, text_col)
+    found = find(rows, ident, text, **options).filter(F.size("_all") > 0).groupBy("_key").agg(F.first("_all").alias("_all"))
+    keyed = rows.withColumn("_key", F.xxhash64(F.col(ident), F.coalesce(F.col(text), F.lit(""))))
     joined = keyed.join(found, "_key", "left")
-    text = F.col(text_col)
-
-    def add(acc: Column, s: Column) -> Column:
-        name = F.when((s["kind"] == "term") & F.lit(remove_terms), F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(fresh, F.concat(acc["out"], gap, name)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_all", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_all").isNotNull(), clean).otherwise(text)).select(*df.columns)
+    body = F.col(text)
+
+    # Spans that begin behind the end of every one before them, then the text between them.
+    def clear(spans: Column) -> Column:
+        reach = lambda i: F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda s: s["end"]))
+        return F.filter(spans, lambda s, i: (i == 0) | (s["start"] >= F.coalesce(reach(i), F.lit(0))))
+
+    def pieces(spans: Column) -> Column:
+        name = lambda s: F.when((s["kind"] == "term") & F.lit(remove_terms), F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        after = lambda i: F.when(i > 0, F.element_at(spans, F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0))
+        each = F.transform(spans, lambda s, i: F.concat(F.substring(body, after(i) + 1, s["start"] - after(i)), name(s)))
+        return F.concat(F.array_join(each, ""), F.substring(body, F.element_at(spans, -1)["end"] + 1, F.length(body)))
+
+    clean = let(clear(F.col("_all")), pieces)
+    return as_given(joined.withColumn(text, F.when(F.col("_all").isNotNull(), clean).otherwise(body)), df)
