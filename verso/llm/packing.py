@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from verso.llm.common import staged
 
+#: Least and largest number of rows of a block that is ranked in one go.
+SMALL_BLOCK, LARGE_BLOCK = 256, 65_536
+#: A plan of more rows than this (8 MB) is joined by shuffle instead of being broadcast.
+MOST_SLOTS = 200_000
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -130,7 +134,8 @@ def plan(spark: SparkSession, counts: dict[int, int], size: int) -> DataFrame:
             rank[length] += n
             offset += length
         sequence += n
-    return spark.createDataFrame(rows, "length long, low long, high long, sequence long, offset long")
+    found = spark.createDataFrame(rows, "length long, low long, high long, sequence long, offset long")
+    return F.broadcast(found) if len(rows) <= MOST_SLOTS else found
 
 
 def pack(
@@ -141,24 +146,28 @@ def pack(
     end_id: int = 0,
     vocabulary: str | None = None,
     pattern: str | None = None,
-    blocks: int = 64,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row.
 
     A row's ids are those of its whole text and `end_id`; null and empty texts are `end_id` alone.
     More than `length` ids are cut into pieces of `length`, the first one shorter if need be.
     Repeated rows are packed as often as they occur, null identifiers like any other; an empty table
-    gives no pieces. The histogram has at most `length` entries and is the only thing on the driver.
+    gives no pieces. The driver holds the histogram (at most `length` entries) and the plan made from it.
     """
     spark = df.sparkSession
     if vocabulary is None:
         vocabulary, pattern = default_vocabulary()
     table = staged(pieces(df, id_col, text_col, length, end_id, vocabulary, pattern), "pieces")
-    # Ranks within a length, in blocks, so that a common length is dealt over many tasks.
-    keyed = table.withColumn("block", F.pmod(F.xxhash64("_id", "piece", F.lit(5)), F.lit(blocks * 16)).cast("int"))
-    per_block = staged(keyed.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    counts = {r["length"]: r["n"] for r in per_block.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    sizes = table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {r["length"]: r["n"] for r in sizes}
     slots = plan(spark, counts, length)
+    # Ranks within a length, in blocks of like size, so that a common length is dealt over many tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = min(max(sum(counts.values()) // (4 * parts), SMALL_BLOCK), LARGE_BLOCK)
+    dealt = spark.createDataFrame([(k, n // each + 1) for k, n in counts.items()], "length long, blocks long")
+    block = F.pmod(F.xxhash64("_id", "piece", "start", "ids_crc32"), F.col("blocks"))
+    keyed = table.join(F.broadcast(dealt), "length").withColumn("block", block).drop("blocks")
+    per_block = staged(keyed.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "histogram")
     before = per_block.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("length", "block").orderBy("_id", "piece", "ids_crc32")) - 1
     ranked = keyed.withColumn("place", place).join(before, ["length", "block"]).withColumn("rank", F.col("before") + F.col("place"))
