@@ -18,6 +18,15 @@ from verso.llm.common import without
 OUTPUT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
+#: Rows of one text that go to one sorted run at most, once a text has more rows than the least number of salts.
+RUN = 250_000
+
+
+def _salts(df: DataFrame, salts: int | None) -> int:
+    """The number of salts: enough that a text in every row is cut into runs of about `RUN` rows."""
+    return salts or min(max(64, df.count() // RUN), 1 << 16)
+
+
 def _order(id_col: str, keep: str) -> Column:
     return F.desc_nulls_last(id_col) if keep == "largest" else F.asc_nulls_last(id_col)
 
@@ -54,7 +63,7 @@ def mark_exact_duplicates(
     text_col: str = "text",
     keep: str = "smallest",
     normalise=lambda text: text,
-    salts: int = 64,
+    salts: int | None = None,
     carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Add keep_id, group_size, kept and text_sha256 to every row.
@@ -62,7 +71,8 @@ def mark_exact_duplicates(
     Null text counts as empty, so null and empty texts are equal. Of equal texts the row with the
     smallest (or largest) identifier stays; null identifiers come last. Repeated rows with one
     identifier are copies too: exactly one of them is kept. An empty table gives an empty result.
-    Input columns named like an output column are replaced. `carry` limits the other columns.
+    Input columns named like an output column are replaced. `carry` limits the other columns. `salts` is
+    how many runs a text's rows are dealt over, by default from the number of rows.
     """
     rows = without(df, *OUTPUT)
     if carry is not None:
@@ -70,7 +80,7 @@ def mark_exact_duplicates(
     names = {c: f"c{i}" for i, c in enumerate(rows.columns)}  # no column of any name is in the way
     extra = [F.col(n).alias(c) for c, n in names.items() if carry is None or c in carry or c == id_col]
     pick = F.max if keep == "largest" else F.min
-    marked = _runs(rows.toDF(*names.values()), names[id_col], names[text_col], keep, normalise, salts)
+    marked = _runs(rows.toDF(*names.values()), names[id_col], names[text_col], keep, normalise, _salts(df, salts))
     # At most `salts` leaders of a text meet; they go back to the rows of their own salt only.
     leaders = marked.filter("_place = 1").select("text_sha256", "_salt", "_best", "_size")
     one_text = Window.partitionBy("text_sha256")
@@ -83,7 +93,7 @@ def mark_exact_duplicates(
 
 
 def drop_exact_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=lambda text: text, salts: int = 64
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", normalise=lambda text: text, salts: int | None = None
 ) -> DataFrame:
     """The rows of `df` that stay, with its columns, as mark_exact_duplicates keeps them.
 
@@ -92,7 +102,7 @@ def drop_exact_duplicates(
     names = [f"c{i}" for i in range(len(df.columns))]  # no column of any name is in the way
     rows = df.toDF(*names)
     ident, text = names[df.columns.index(id_col)], names[df.columns.index(text_col)]
-    leaders = _runs(rows, ident, text, keep, normalise, salts).filter("_place = 1")
+    leaders = _runs(rows, ident, text, keep, normalise, _salts(df, salts)).filter("_place = 1")
     best = Window.partitionBy("text_sha256").orderBy(_order(ident, keep))
     kept = leaders.withColumn("_n", F.row_number().over(best)).filter("_n = 1")
     return kept.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)))
