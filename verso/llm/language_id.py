@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from verso.llm.common import fold
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 #: The model is broadcast, and has one row of 2^bits numbers for each language.
@@ -89,7 +87,7 @@ def _score(model, orders: tuple[int, ...], bits: int):
         for pdf in batches:
             texts = pdf.pop("_text").fillna("").tolist()
             best, score = np.full(len(texts), len(langs)), np.zeros(len(texts))
-            known = np.fromiter((LETTER.search(t) is not None for t in texts), dtype=bool, count=len(texts))
+            known = np.fromiter((any(map(str.isalpha, t)) for t in texts), dtype=bool, count=len(texts))
             for a, b in _batches(texts) if langs else ():
                 total = np.tile(prior, (b - a, 1))
                 for of, bucket in grams(texts[a:b], orders, bits):
