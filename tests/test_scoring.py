@@ -124,5 +124,5 @@ def test_cluster_interval_is_at_least_as_wide(spark):
 
 def test_nearest_rank(spark):
     df = spark.createDataFrame([(float(i),) for i in (5, 1, 4, 2, 3)], "v double")
-    r = df.agg(*(statistics.nearest_rank(F.col("v"), p).alias(k) for k, p in (("a", 0.5), ("b", 0.9), ("c", 1.0)))).first()
-    assert tuple(r) == (3.0, 5.0, 5.0)
+    r = statistics.rank_values(df, [], "v", {"a": 0.5, "b": 0.9, "c": 1.0}).first()
+    assert (r["a"], r["b"], r["c"]) == (3.0, 5.0, 5.0)

@@ -26,20 +26,27 @@ def cer(ref: Column, hyp: Column) -> Column:
     return F.when(n > 0, F.levenshtein(ref, hyp) / n)
 
 
+#: Distinct words of a pair that an alphabet can spell: all code points from U+0100 on but the surrogates.
+MOST_WORDS = 0x110000 - 0x100 - 0x800
+
+
 def word_edits(ref: Column, hyp: Column) -> Column:
     """Edit distance of word lists: both are spelled in an alphabet with one character per distinct word.
 
-    The alphabet starts at U+0100 and has room for 55,000 words per pair, below the surrogates.
+    The alphabet starts at U+0100; a pair with more than `MOST_WORDS` distinct words, for which Unicode has no room, raises an error.
     """
     left, right = tokens(ref), tokens(hyp)
     vocabulary = F.array_distinct(F.concat(left, right))
 
     def spell(words: Column, known: Column) -> Column:
-        code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0"))
-        return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
-
-    both = F.transform(F.array(F.struct(left.alias("l"), right.alias("r"), vocabulary.alias("v"))), lambda s: F.levenshtein(spell(s["l"], s["v"]), spell(s["r"], s["v"])))
-    return F.element_at(both, 1)
+        place = lambda w: F.array_position(known, w) + 0xFF
+        code = F.transform(words, lambda w: F.lpad(F.hex(F.when(place(w) < 0xD800, place(w)).otherwise(place(w) + 0x800)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+
+    edits = lambda s: F.when(
+        F.size(s["v"]) <= MOST_WORDS, F.levenshtein(spell(s["l"], s["v"]), spell(s["r"], s["v"]))
+    ).otherwise(F.raise_error(F.lit("too many distinct words")).cast("int"))
+    return F.element_at(F.transform(F.array(F.struct(left.alias("l"), right.alias("r"), vocabulary.alias("v"))), edits), 1)
 
 
 def substring_edits(needle: str, hay: str) -> int:

@@ -26,9 +26,26 @@ PUNCTUATION = (",;?", "\u060c\u061b\u061f")
 SEPARATORS = ("\u066b\u066c\u2044", ".,/")
 SPACES = " \\t\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000"
 ARABIC_CLASS = "[\u0600-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufeff]"
+PERSIAN_CORE = "[ء-يٰ-ۓۺ-ۼ‌]+"
 PERSIAN_ONLY = "[\u067e\u0686\u0698\u06af]"
 VOWEL_MARKS = "[\u064b-\u0652\u0670]"
 DOT_GROUPS = ("بپتثنی", "جچحخ", "دذ", "رزژ", "سش", "صض", "طظ", "عغ", "فق", "کگ", "هة", "وؤ", "اآأإ")
+#: Presentation forms of each letter: alone, behind another, before another, between two; letters that do not join
+#: forward have the first two, and hamza the first.
+FORMS = {
+    "آ": (0xFE81, 0xFE82), "أ": (0xFE83, 0xFE84), "إ": (0xFE87, 0xFE88), "ا": (0xFE8D, 0xFE8E),
+    "د": (0xFEA9, 0xFEAA), "ذ": (0xFEAB, 0xFEAC), "ر": (0xFEAD, 0xFEAE), "ز": (0xFEAF, 0xFEB0),
+    "ژ": (0xFB8A, 0xFB8B), "و": (0xFEED, 0xFEEE), "ؤ": (0xFE85, 0xFE86), "ة": (0xFE93, 0xFE94),
+    "ى": (0xFEEF, 0xFEF0), "ء": (0xFE80,),
+} | {
+    letter: tuple(range(first, first + 4))
+    for letter, first in {
+        "ب": 0xFE8F, "پ": 0xFB56, "ت": 0xFE95, "ث": 0xFE99, "ج": 0xFE9D, "چ": 0xFB7A, "ح": 0xFEA1, "خ": 0xFEA5,
+        "س": 0xFEB1, "ش": 0xFEB5, "ص": 0xFEB9, "ض": 0xFEBD, "ط": 0xFEC1, "ظ": 0xFEC5, "ع": 0xFEC9, "غ": 0xFECD,
+        "ف": 0xFED1, "ق": 0xFED5, "ک": 0xFB8E, "ك": 0xFED9, "گ": 0xFB92, "ل": 0xFEDD, "م": 0xFEE1, "ن": 0xFEE5,
+        "ه": 0xFEE9, "ی": 0xFBFC, "ي": 0xFEF1, "ئ": 0xFE89,
+    }.items()
+}
 # ------------------------------------------------------------------------------------------------
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,10 +96,12 @@ def nfc(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """One space for a run of spaces, one line end for a run with line ends, and no space at either end of a line."""
-    text = F.regexp_replace(text, r"(?U)\s*\n\s*", "\n")
-    text = F.regexp_replace(text, f"[{SPACES}]+", " ")
-    text = F.regexp_replace(text, r"(?U)\s*\n\s*", "\n")
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    # Runs are tried at their first blank alone, so that a long run costs no more than its length.
+    ends = r"(?U)(?<![\s&&[^\n]])[\s&&[^\n]]*+\n\s*+"
+    text = F.regexp_replace(text, ends, "\n")
+    text = F.regexp_replace(text, f"[{SPACES}]++", " ")
+    text = F.regexp_replace(text, ends, "\n")
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 _STEPS = {
@@ -199,6 +218,35 @@ def looks_arabic(text: Column, marks: str = VOWEL_MARKS, own: str = PERSIAN_ONLY
     return F.when(n < 40, False).when(marked, True).otherwise((n >= 200) & unlike)
 
 
+def token_set(text: Column, core: str = PERSIAN_CORE, rules: Rules = DEFAULT) -> Column:
+    """Distinct normalised words of the script: the first run of its letters in each token that has one."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), " "), lambda t: F.regexp_extract(t, core, 0)), lambda w: w != "")
+    return F.array_distinct(F.filter(F.transform(parts, lambda w: normalize(w, rules)), lambda w: w != ""))
+
+
+def shape(word: Column) -> Column:
+    """A word in joined presentation forms, in the order in which they are drawn from the left.
+
+    A letter has its final or middle form behind one that joins forward, and its first or middle form
+    before another one if it joins forward itself; characters without forms are left out.
+    """
+    forms = F.create_map(*(F.lit(x) for c, codes in FORMS.items() for x in (c, "".join(map(chr, codes)))))
+    letters = F.filter(F.transform(F.split(word, ""), lambda c: F.try_element_at(forms, c)), lambda f: f.isNotNull())
+
+    def place(all_: Column) -> Column:
+        last = F.size(all_) - 1
+
+        def form(f: Column, i: Column) -> Column:
+            behind = (i > 0) & (F.length(F.element_at(all_, F.greatest(i, F.lit(1)))) == 4)
+            before = (F.length(f) == 4) & (i < last)
+            at = F.when(behind & before, 4).when(behind & (F.length(f) > 1), 2).when(before, 3).otherwise(1)
+            return F.substring(f, at, F.lit(1))
+
+        return F.transform(all_, form)
+
+    return F.array_join(F.reverse(F.element_at(F.transform(F.array(letters), place), 1)), "")
+
+
 def clean_label(text: Column) -> Column:
     """Training label: marks and controls stripped, letter forms folded, one space between words."""
     t = F.translate(F.coalesce(text, F.lit("")), "\u200e\u200f" + TATWEEL + HARAKAT, "")

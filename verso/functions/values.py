@@ -12,8 +12,11 @@ NUMBER = r"\d+(?:[.,/:\-]\d+)*"
 SPAN = "(?:IR)?[0-9۰-۹٠-٩](?:[0-9۰-۹٠-٩,./\\-،٫٬]*[0-9۰-۹٠-٩])?"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+"
 EMAIL_OK = r"^[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}$"
+ANY_DIGIT = "[0-9۰-۹٠-٩]"
 DATE = r"(\d{2,4})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{1,2})"
 PHONE_RUN = r"\d[\d\s\-()]{5,20}\d"
+PHONE_RUN_ANY = r"\d(?:\d|[\s\-()]){5,20}\d"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 PHONE_LABEL = "(?:تلفن|تلفکس|فکس|نمابر|موبایل|همراه|تماس)"
 LEAP_REMAINDERS = (1, 5, 9, 13, 17, 22, 26, 30)
 FIRST_YEAR, LAST_YEAR = 1300, 1499
@@ -52,7 +55,8 @@ def numbers(text: Column) -> Column:
 def amount_grouping(token: Column) -> Column:
     """ok, broken or none: whether the groups behind one kind of separator have three digits each."""
     t = F.regexp_replace(F.regexp_replace(ascii_digits(token), r"^\D+", ""), r"\D+$", "")
-    rest = F.slice(F.split(t, "[,./]"), 2, 1000)
+    parts = F.split(t, "[,./]")
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     whole = F.filter(rest, lambda g: F.length(g) == 3)
     grouped = t.rlike(r"^\d{1,3}(?:(?:,\d+)+|(?:\.\d+)+|(?:/\d+)+)$")
     several = F.size(rest) >= 2
@@ -124,13 +128,40 @@ def phone(raw: Column) -> dict[str, Column]:
     return {"valid": ok, "reason": reason, "normalized": F.when(ok, d)}
 
 
-def split_phones(run: Column) -> Column:
-    """The numbers of one run: two groups are one number if the first is an area code that completes the second."""
-    groups = F.regexp_extract_all(ascii_digits(run), F.lit(r"\d+"), F.lit(0))
-    first, second = F.try_element_at(groups, F.lit(1)), F.try_element_at(groups, F.lit(2))
+def split_phones(run: Column, as_read: bool = False) -> Column:
+    """The numbers of one run: two groups are one number if the first is an area code that completes the second.
+
+    Their digits are ASCII, or with `as_read` those of the text.
+    """
+    groups = F.regexp_extract_all(run, F.lit(f"{ANY_DIGIT}+"), F.lit(0))
+    first, second = (ascii_digits(F.try_element_at(groups, F.lit(i))) for i in (1, 2))
     joined = F.concat(first, second)
     area = (F.size(groups) == 2) & first.startswith("0") & (F.length(first) <= 4) & F.length(joined).isin(10, 11)
-    return F.when(area | (F.size(groups) < 2), F.array(run)).otherwise(groups)
+    return F.when(area | (F.size(groups) < 2), F.array(run)).otherwise(groups if as_read else F.transform(groups, ascii_digits))
+
+
+def _finding(kind: str, value: Column, verdict: dict[str, Column], line: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), value.alias("value"), line.cast("int").alias("line"), *(verdict[k].alias(k) for k in ("valid", "reason", "normalized")))
+
+
+def scan(text: Column, label: str = PHONE_LABEL) -> Column:
+    """Findings of a transcript as (kind, value, line, valid, reason, normalized), values exactly as they were read.
+
+    E-mail addresses come first (line is null), then line by line the dates and, behind the first telephone
+    label of the line, the numbers of each run that holds no date.
+    """
+    known = F.coalesce(text, F.lit(""))
+    every = lambda t, pattern: F.regexp_extract_all(t, F.lit(pattern.replace(r"\d", ANY_DIGIT)), F.lit(0))
+    dated = DATE.replace(r"\d", ANY_DIGIT)
+    emails = F.transform(F.regexp_extract_all(known, F.lit(EMAIL), F.lit(0)), lambda v: _finding("email", v, email(v), F.lit(None)))
+
+    def of_line(line: Column, i: Column) -> Column:
+        dates = F.transform(every(line, DATE), lambda v: _finding("date", v, jalali_date(v), i))
+        runs = F.filter(every(F.regexp_extract(line, f"(?s){label}(.*)$", 1), PHONE_RUN_ANY), lambda r: ~r.rlike(dated))
+        numbers = F.flatten(F.transform(runs, lambda r: split_phones(r, as_read=True)))
+        return F.concat(dates, F.transform(numbers, lambda v: _finding("phone", v, phone(v), i)))
+
+    return F.concat(emails, F.flatten(F.transform(F.split(known, LINE_END), of_line)))
 
 
 def national_id_ok(digits: Column) -> Column:

@@ -114,3 +114,13 @@ def reliability(rows: DataFrame, *keys: str, run: int = 20, loop: int = 60) -> D
         F.count_if(F.col("run") >= run).alias("degenerate_runs"),
         F.count_if((F.col("run") < run) & (F.col("loop") >= loop)).alias("phrase_loops"),
     )
+
+
+def page_means(pages: DataFrame, *keys: str) -> DataFrame:
+    """Mean word and character error over pages, and their unsupported lines in all.
+
+    `pages` has the keys, wer, cer and junk, one row per page; a page counts once, whatever its length.
+    """
+    return pages.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pages"), F.bround(F.avg("wer"), 4).alias("wer"), F.bround(F.avg("cer"), 4).alias("cer"), F.sum("junk").cast("long").alias("junk")
+    )

@@ -13,17 +13,18 @@ SUBJECT = LEAD + r"موضوع\s*[:：]\s*(.+)$"
 CONTACT = r"(?i)آدرس|نشانی|تلفن|تلفکس|فکس|نمابر|کد\s*پستی|صندوق\s*پستی|ایمیل|پست\s*الکترونیک|e-?mail|www\.|https?://|@|وب\s*سایت"
 HEADER = LEAD + r"(?:شماره|تاریخ|پیوست|بسمه|باسمه|به\s*نام\s*خدا|بسم)|(?:شماره|تاریخ|پیوست)\s*[:：]|بسمه|باسمه|به\s*نام\s*(?:خدا|او|آن|حق)"
 ORGANISATION = "شرکت|سازمان|اداره|وزارت|دانشگاه|بانک|موسسه|مؤسسه|گروه|شهرداری|دفتر|هلدینگ|انجمن|کانون|مجتمع"
+HEAD_ORGANISATION = ORGANISATION + "|صنایع|تعاونی"
 OPENING = ("سلام", "باسلام", "احتراما", "احتراماً")
-REGISTRATION = r"ثبت\s*[:：]?\s*(\d{3,})"
+REGISTRATION = r"(?:شماره\s*ثبت|ش\s*\.?\s*ث|ثبت)\s*[:：.]?\s*([0-9]{3,12})"
 # ------------------------------------------------------------------------------------------------
 
 
 def letter_fields(lines: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     """(page, is_letter, sender, receiver, subject, body_text, contact_info) from lines in reading order.
 
-    `lines` is (page, line, text, y0, page_height, conf). Walking up from the salutation, subject lines are
-    skipped, so the addressee is the nearest other line, and a second one above it if it reads as one;
-    both follow from positions, without a loop.
+    `lines` is (page, line, text, y0, page_height, conf). Above the salutation the lines that are no
+    subject are numbered from the nearest on: the receiver is the first that fits, unless a heading stands
+    nearer, and the next one too where it is worded as an address.
     """
     t = F.trim("text")
     opening = F.slice(F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_‌]", "")), 1, 3)
@@ -66,12 +67,12 @@ def letter_fields(lines: DataFrame, page: str, least: float = 0.5) -> DataFrame:
 
 
 def letterhead(words: DataFrame, page: str, least: float = 0.80) -> DataFrame:
-    """(page, sender, registration_number): from lines whose worst word is confident."""
+    """(page, sender, registration_number): from lines whose worst word is confident; the number in ASCII digits."""
     lines = words.groupBy(page, "line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]), " ").alias("t"), F.min("conf").alias("c")
     )
     lines = lines.filter(F.col("c") >= least).withColumn("reg", F.regexp_extract(F.translate("t", "۰۱۲۳۴۵۶۷۸۹", "0123456789"), REGISTRATION, 1))
-    number, org = F.col("reg") != "", F.col("t").rlike(ORGANISATION) & (F.col("reg") == "")
+    number, org = F.col("reg") != "", F.col("t").rlike(HEAD_ORGANISATION) & (F.col("reg") == "")
     return lines.groupBy(page).agg(
         F.min_by(F.when(org, F.trim("t")), F.when(org, F.col("line"))).alias("sender"), F.min_by(F.when(number, F.col("reg")), F.when(number, F.col("line"))).alias("registration_number")
     )

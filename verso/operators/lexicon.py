@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from verso.functions.distance import deletions, doubled_deletions
 from verso.functions.text import fold_groups
 
-#: Fixed affixes that are written apart from their word.
+#: Affixes that are written apart from their word.
 SUFFIXES = (
-    "ها های هایی هایم هایت هایش هایمان هایتان هایشان تر تری ترین ام ات اش مان تان شان ای اند ایم اید گر گری گان"
-).split()
-PREFIXES = "می نمی بی به".split()
+    "ها", "های", "هایی", "هایم", "هایت", "هایش", "هایمان", "هایتان", "هایشان", "تر", "تری", "ترین",
+    "ام", "ات", "اش", "مان", "تان", "شان", "ای", "اند", "ایم", "اید", "گر", "گری", "گان",
+)
+PREFIXES = ("می", "نمی", "بی", "به")
+#: A word of the script, and the confidence from which a reading is left alone.
+PERSIAN_WORD = "^[ء-غف-يپچژکگی‌]+$"
+SURE = 85.0
 ZWNJ = "‌"
 
 
@@ -54,7 +58,7 @@ def repair(words: DataFrame, lexicon: DataFrame, groups: tuple[str, ...], least:
     open_ = words.filter(F.length("word") >= least).join(known, "word", "left_anti")
     moved = moved_marks(open_, known, groups).withColumnRenamed("fix", "_moved")
     parts = F.split("word", mark)
-    apart = open_.filter(F.contains("word", F.lit(mark)) & ~F.element_at(parts, -1).isin(SUFFIXES) & ~F.element_at(parts, 1).isin(PREFIXES))
+    apart = open_.filter(F.contains("word", F.lit(mark)) & ~F.element_at(parts, -1).isin(*SUFFIXES) & ~F.element_at(parts, 1).isin(*PREFIXES))
     closed = _unique(apart.select("word", F.replace(F.col("word"), F.lit(mark), F.lit("")).alias("_c")), known, "_closed")
     fewer = open_.filter(F.length("word") >= least + 1).select("word", F.explode(deletions(F.col("word"))).alias("_c"))
     single = _unique(fewer, known, "_single")
@@ -63,6 +67,18 @@ def repair(words: DataFrame, lexicon: DataFrame, groups: tuple[str, ...], least:
     return out.select("word", F.coalesce("_moved", "_closed", "_single", "word").alias("fixed"), rule.alias("rule"))
 
 
+def fix_words(words: DataFrame, lexicon: DataFrame, groups: tuple[str, ...], script: str = PERSIAN_WORD, sure: float = SURE, least: int = 3) -> DataFrame:
+    """Add fixed and rule to rows of (word, conf, ...): `repair` for the words that may be wrong.
+
+    A word stays as it was read if its confidence is `sure` or more, if it is short, or if it has letters of
+    another script; otherwise the rules of `repair` apply.
+    """
+    doubtful = (F.col("conf") < sure) & (F.length("word") >= least) & F.col("word").rlike(script)
+    fixes = repair(words.filter(doubtful).select("word"), lexicon, groups, least).filter("rule <> 'kept'")
+    joined = words.withColumn("_open", F.when(doubtful, F.col("word"))).join(fixes.withColumnRenamed("word", "_open"), "_open", "left")
+    return joined.select(*words.columns, F.coalesce("fixed", "word").alias("fixed"), F.coalesce("rule", F.lit("kept")).alias("rule"))
+
+
 def edit_one(words: DataFrame, lexicon: DataFrame, least: int = 2, most: int = 20) -> DataFrame:
     """(word, fix): the lexicon word within one edit (a transposition counts as one).
 

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verso.operators.scoring import ratio
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    """Order statistic at index min(n - 1, floor(p n)) of the non-null values."""
-    sorted_values = F.array_sort(F.collect_list(value))
-    n = F.count(value)
-    return F.try_element_at(sorted_values, F.least(n, F.floor(F.lit(p) * n) + 1).cast("int"))
-
-
 def rank_values(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Order statistics of large groups: values are counted first, so that no group is gathered.
 
     Per key and distinct value a running count says which ranks the value holds.
     """
-    from pyspark.sql import Window
-
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     order = Window.partitionBy(*keys).orderBy(value)
     upto = F.sum("_c").over(order)
@@ -60,20 +51,40 @@ def draw(iteration: Column, slot: Column, n: Column, seed: int) -> Column:
     return F.pmod(F.floor(x / 65536), n)
 
 
-def bootstrap(units: DataFrame, keys: list[str], iterations: int = 200, seed: int = 17, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of sum(top) / sum(bottom) under resampling of the units of each key.
+#: Draws that are made from one row, and units up to which their table is broadcast (some 40 MB).
+DRAWS, FEW_UNITS = 16_384, 1_000_000
+
 
-    `units` has the keys, top and bottom, one row per unit (a document, or a cluster of them). Groups
-    with one unit have no interval. Work is units x iterations, dealt by key and iteration.
+def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Add _i, the place (from 0) of each row among those of its key by `order`.
+
+    Rows are range partitioned, counted per partition and numbered inside it, so that no key is one task.
     """
-    from pyspark.sql import Window
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select(*keys, "_part", (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_c")).alias("_before"))
+    inside = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)))
+    return inside.join(before, [*keys, "_part"]).withColumn("_i", F.col("_before") + F.col("_place") - 1).drop("_part", "_before", "_place")
+
 
-    numbered = units.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("unit")) - 1)
+def bootstrap(units: DataFrame, keys: list[str], iterations: int = 2000, seed: int = 17, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of sum(top) / sum(bottom) under resampling of the units of each key.
+
+    `units` has the keys, unit (in whose order they are numbered), top and bottom, one row per unit (a
+    document, or a cluster of them). Groups with one unit have no interval. Work is units x iterations,
+    dealt in blocks of draws; the units come to the draws by broadcast up to `FEW_UNITS` of them.
+    """
     sizes = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("top").alias("_t"), F.sum("bottom").alias("_b"))
-    slots = sizes.withColumn("_iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    slots = slots.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    slots = slots.withColumn("_i", draw(F.col("_iter").cast("long"), F.col("_slot"), F.col("_n"), seed))
-    drawn = slots.join(numbered.select(*keys, "_i", "top", "bottom"), [*keys, "_i"])
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    own = numbered(units, keys, "unit").select(*keys, "_i", "top", "bottom")
+    blocks = sizes.withColumn("_iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / DRAWS))))
+    blocks = blocks.repartition(*keys, "_iter", "_block")
+    first = F.col("_block") * DRAWS
+    slots = blocks.withColumn("_slot", F.explode(F.sequence(first, F.least(F.col("_n"), first + DRAWS) - 1)))
+    slots = slots.withColumn("_i", draw(F.col("_iter").cast("long"), F.col("_slot"), F.col("_n"), seed)).select(*keys, "_iter", "_i")
+    drawn = slots.join(F.broadcast(own) if total <= FEW_UNITS else own, [*keys, "_i"])
     values = drawn.groupBy(*keys, "_iter").agg((F.sum("top") / F.nullif(F.sum("bottom"), F.lit(0))).alias("_v"))
     ends = values.filter("_v is not null").groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
     m = F.size("_vs")
