@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from verso.functions import distance, text, values
 from verso.operators import audit, layout, ledger, lexicon, scoring, splits, statistics
+from verso.plans import edits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -362,20 +363,20 @@ def k1_cer_pairs(spark, sf_dir):
     )
 
 
-@query()
+@query(edits.of_documents(FIELDS)["k2_wer_pairs"])
 def k2_wer_pairs(spark, sf_dir):
     rows = fields_of(spark, sf_dir).filter("gt <> '' and pred <> ''")
     return rows.select("doc", "field", distance.word_edits(F.col("gt"), F.col("pred")).alias("word_edits"), F.size(text.tokens(F.col("gt"))).alias("gt_words"))
 
 
-@query()
+@query(edits.of_turns(ATOMS)["k3_semiglobal"])
 def k3_semiglobal(spark, sf_dir):
     """Each turn against the next one of its conversation."""
     turns = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     return turns.filter("next is not null").select("conv_id", "turn", distance.semiglobal(F.col("text"), F.col("next")).alias("edits"), F.length("text").alias("n"))
 
 
-@query()
+@query(edits.of_turns(ATOMS)["k5_run_class"])
 def k5_run_class(spark, sf_dir):
     """How the digit groups of a document come out in the document's own numbers, with the order of groups undone."""
     docs = table(spark, sf_dir, "documents").withColumn("digits", values.digits_only(F.col("text")))
@@ -437,19 +438,19 @@ def j6_misassigned(spark, sf_dir):
 NAMES = ["f000", "f001", "f002", "f003", "f004", "f999"]
 
 
-@query()
+@query(edits.of_conversations(CONV)["a9_per_field"])
 def a9_per_field(spark, sf_dir):
     return scoring.per_field(scoring.outcomes(conversation_fields(spark, sf_dir)), NAMES)
 
 
-@query()
+@query(edits.of_conversations(CONV)["a4_oracle_assign"])
 def a4_oracle_assign(spark, sf_dir):
     rows = scoring.outcomes(conversation_fields(spark, sf_dir))
     assigned = rows.groupBy("doc").agg(F.sum(F.coalesce("edits", "gt_len")).alias("assigned_edits"))
     return scoring.oracle_edits(rows, fields=8).join(assigned, "doc")
 
 
-@query()
+@query(edits.of_conversations(CONV)["a11_reversal"])
 def a11_reversal(spark, sf_dir):
     rows = scoring.reversals(scoring.outcomes(conversation_fields(spark, sf_dir)))
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -499,7 +500,7 @@ def _boot_sql(units: str) -> str:
 def a14_bootstrap(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     units = e.select(F.col("event_type").alias("k"), F.col("event_id").alias("unit"), F.when(F.col("value") > 5, 1).otherwise(0).alias("top"), F.lit(1).alias("bottom"))
-    return statistics.bootstrap(units, ["k"])
+    return statistics.bootstrap(units, ["k"], iterations=200)
 
 
 @query(
@@ -512,7 +513,7 @@ def a15_cluster_bootstrap(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     cluster = rows.groupBy(F.col("source").alias("unit")).agg(F.sum("quality").alias("top"), F.count(F.lit(1)).alias("bottom")).withColumn("k", F.lit("cluster"))
     single = rows.select(F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("unit"), F.col("quality").cast("long").alias("top"), F.lit(1).cast("long").alias("bottom"), F.lit("document").alias("k"))
-    return statistics.bootstrap(cluster.unionByName(single), ["k"])
+    return statistics.bootstrap(cluster.unionByName(single), ["k"], iterations=200)
 
 
 @query(
@@ -744,7 +745,7 @@ def w2_longest_run(spark, sf_dir):
     return layout.longest_run(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(edits.OTHER["w3_phrase_loop"])
 def w3_phrase_loop(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", layout.phrase_loop(F.col("text")).alias("loop"))
     return rows.filter("loop >= 60")
@@ -818,7 +819,7 @@ def c2_doubled_letters(spark, sf_dir):
     return lexicon.doubled_letters(lower_words(table(spark, sf_dir, "conversations")), lower_words(table(spark, sf_dir, "benchmark")))
 
 
-@query()
+@query(edits.OTHER["c1_edit_one"])
 def c1_edit_one(spark, sf_dir):
     return lexicon.edit_one(lower_words(table(spark, sf_dir, "conversations")), lower_words(table(spark, sf_dir, "benchmark")))
 
@@ -840,7 +841,7 @@ def io6_first_per_id(spark, sf_dir):
     return lexicon.first_per_id(rows, "k").select("id", "word")
 
 
-@query()
+@query(edits.OTHER["a26_arms"])
 def a26_arms(spark, sf_dir):
     """Tokens that each correction arm changes in the turns, and whether the next turn's words bear it out."""
     turns = table(spark, sf_dir, "conversations")
@@ -1017,14 +1018,14 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return fields.select("doc", F.format_string("f%03d", "i").alias("field"), "gt"), t.select("doc", F.col("next").alias("text"))
 
 
-@query()
+@query(edits.of_turns(ATOMS)["a20_coverage"])
 def a20_coverage(spark, sf_dir):
     from verso.operators import fulltext
 
     return fulltext.coverage(fulltext.score_documents(*turn_pages(spark, sf_dir)))
 
 
-@query()
+@query(edits.of_turns(ATOMS)["k4_unsupported_lines"])
 def k4_unsupported_lines(spark, sf_dir):
     from verso.operators import fulltext
 
@@ -1066,7 +1067,7 @@ def a23_field_cer(spark, sf_dir):
     )
 
 
-@query()
+@query(edits.of_conversations(CONV)["a28_placement"])
 def a28_placement(spark, sf_dir):
     from verso.operators import fulltext
 
@@ -1262,7 +1263,7 @@ def k7_matching_ratio(spark, sf_dir):
     return next_turns(spark, sf_dir).select("conv_id", "turn", F.round(distance.matching_ratio(F.col("text"), F.col("next")), 9).alias("ratio"))
 
 
-@query()
+@query(edits.of_turns(ATOMS)["k6_common_substring"])
 def k6_common_substring(spark, sf_dir):
     return next_turns(spark, sf_dir).select("conv_id", "turn", distance.longest_common_substring(F.col("text"), F.col("next")).alias("common"))
 
@@ -1386,7 +1387,7 @@ def a24_page_score(spark, sf_dir):
     return rows.select("conv_id", "turn", *(score[k].alias(k) for k in ("cer", "gt_chars", "pred_chars", "len_ratio")))
 
 
-@query()
+@query(edits.OTHER["a19_reliability"])
 def a19_reliability(spark, sf_dir):
     from verso.operators import fulltext
 
