@@ -6,7 +6,7 @@ Fixed values below (character classes, thresholds, word lists) are part of the r
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 
 import pandas as pd
 from pyspark.sql import Column
@@ -220,7 +220,10 @@ def looks_arabic(text: Column, marks: str = VOWEL_MARKS, own: str = PERSIAN_ONLY
 
 def token_set(text: Column, core: str = PERSIAN_CORE, rules: Rules = DEFAULT) -> Column:
     """Distinct normalised words of the script: the first run of its letters in each token that has one."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), " "), lambda t: F.regexp_extract(t, core, 0)), lambda w: w != "")
+    known = F.coalesce(text, F.lit(""))
+    if rules.nfc:  # of the whole text, as it may leave the JVM
+        known, rules = nfc(known), replace(rules, nfc=False)
+    parts = F.filter(F.transform(F.split(known, " "), lambda t: F.regexp_extract(t, core, 0)), lambda w: w != "")
     return F.array_distinct(F.filter(F.transform(parts, lambda w: normalize(w, rules)), lambda w: w != ""))
 
 

@@ -122,5 +122,5 @@ def page_means(pages: DataFrame, *keys: str) -> DataFrame:
     `pages` has the keys, wer, cer and junk, one row per page; a page counts once, whatever its length.
     """
     return pages.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pages"), F.bround(F.avg("wer"), 4).alias("wer"), F.bround(F.avg("cer"), 4).alias("cer"), F.sum("junk").cast("long").alias("junk")
+        F.count(F.lit(1)).alias("pages"), F.bround(F.avg("wer"), 6).alias("wer"), F.bround(F.avg("cer"), 6).alias("cer"), F.sum("junk").cast("long").alias("junk")
     )

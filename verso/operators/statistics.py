@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verso.operators.scoring import ratio
+from verso.session import written
 
 
 def rank_values(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -59,9 +60,10 @@ def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Add _i, the place (from 0) of each row among those of its key by `order`.
 
     Rows are range partitioned, counted per partition and numbered inside it, so that no key is one task.
+    The partitions are a written table, as their sampled bounds must be the same for both uses.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.select(*keys, "_part", (F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_c")).alias("_before"))
     inside = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)))

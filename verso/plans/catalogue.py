@@ -652,6 +652,18 @@ words AS (SELECT page, line, unnest(range(len(ws))) AS pos, unnest(ws) AS text F
 placed AS (SELECT *, sum(length(text) * 10 + CASE WHEN (pos * 7 + length(text) * 3) % 9 = 0 THEN 60 ELSE 10 END) OVER (PARTITION BY page, line ORDER BY pos) AS x1 FROM words),
 boxes AS (SELECT page, line, pos, text, (length(text) * 13 + pos * 7) % 101 AS conf, x1 - length(text) * 10 AS x0, x1, line * 50 + line // 3 * 40 AS y0, line * 50 + line // 3 * 40 + 40 AS y1 FROM placed)
 """
+NUMBERS = f"""{BOXES}, numbers AS (SELECT * REPLACE (CASE pos % 4 WHEN 0 THEN '(' || (1234 * length(text)) WHEN 1 THEN '/' WHEN 2 THEN (10 + pos) || ')' ELSE text END AS text) FROM boxes)"""
+
+
+def number_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes whose words are numbers, separators and words in turn."""
+    pos = F.col("pos")
+    number = F.concat(F.lit("("), (F.length("text") * 1234).cast("string"))
+    return boxes(spark, sf_dir).withColumn(
+        "text", F.when(pos % 4 == 0, number).when(pos % 4 == 1, "/").when(pos % 4 == 2, F.concat((pos + 10).cast("string"), F.lit(")"))).otherwise(F.col("text"))
+    )
+
+
 SEGMENTS = f"""{BOXES}, gaps AS (SELECT *, lag(x0) OVER s AS px0, lag(x1) OVER s AS px1 FROM boxes WINDOW s AS (PARTITION BY page, line ORDER BY pos)),
 cut AS (SELECT *, sum(CASE WHEN px0 IS NOT NULL AND greatest(0, greatest(x0, px0) - least(x1, px1)) > 1.2 * 40 THEN 1 ELSE 0 END) OVER (PARTITION BY page, line ORDER BY pos) AS segment FROM gaps)"""
 
@@ -961,9 +973,13 @@ def q3_job_status(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def io3_salvage_markup(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")
-    )
+    """Pages as JSON objects that are cut off behind the fields that are wanted."""
+    from verso.sources import readers
+
+    part = lambda pattern: F.regexp_extract("html", pattern, 1)
+    raw = F.concat(F.to_json(F.struct(part('lang="([a-z]+)"').alias("lang"), part("<title>([^<]*)</title>").alias("title"))), F.lit(', "body": "cut o'))
+    found = readers.salvage(raw, "lang", "title")
+    return table(spark, sf_dir, "pages").select("page_id", *(v.alias(k) for k, v in found.items()))
 
 
 @query(
@@ -1093,11 +1109,19 @@ def j11_number_match(spark, sf_dir):
     return numerals.verdict_summary(found.withColumn("kind", values.numeric_kind(F.col("value"))), "kind")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {NUMBERS}, w AS (SELECT page, text, conf::DOUBLE AS conf, x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1, regexp_matches(text, '[0-9]') AS digit,
+          row_number() OVER (PARTITION BY page ORDER BY y0 // 20, x0, x1, y0, text, conf) AS n FROM numbers WHERE regexp_full_match(text, '[0-9./,() -]+')),
+        run AS (SELECT *, n AS first FROM w WHERE digit
+          UNION ALL SELECT r.page, r.text || w.text, least(r.conf, w.conf), least(r.x0, w.x0), least(r.y0, w.y0), greatest(r.x1, w.x1), greatest(r.y1, w.y1), w.digit, w.n, r.first
+          FROM run r JOIN w ON w.page = r.page AND w.n = r.n + 1 AND w.n < r.first + 8 AND abs(w.y0 - r.y0) < greatest(r.y1 - r.y0, 12)
+            AND (w.x0 - r.x1 BETWEEN 0 AND 40 OR r.x0 - w.x1 BETWEEN 0 AND 40) AND (w.digit OR regexp_full_match(w.text, '[,./\\-،٫٬ ]*')))
+        SELECT page, text, conf, x0, y0, x1, y1 FROM w UNION ALL SELECT page, text, conf, x0, y0, x1, y1 FROM run WHERE digit AND n > first"""
+)
 def v7_merged_words(spark, sf_dir):
     from verso.operators import numerals
 
-    words = boxes(spark, sf_dir).filter(F.col("text").rlike(r"^[\d.,/+()-]+$")).select("page", "text", "conf", "x0", "y0", "x1", "y1")
+    words = number_boxes(spark, sf_dir).filter(F.col("text").rlike(r"^[\d./,() -]+$")).select("page", "text", "conf", "x0", "y0", "x1", "y1")
     return numerals.merge_neighbours(words, "page")
 
 
@@ -1133,7 +1157,14 @@ def w11_islands(spark, sf_dir):
     return layout.islands(profile, "page", F.col("ink") > 40)
 
 
-@query()
+@query(
+    f"""WITH {BOXES}, a AS (SELECT *, min(CASE WHEN text LIKE '%:' THEN pos END) OVER l AS label_at, count(*) OVER l AS n FROM boxes WINDOW l AS (PARTITION BY page, line)),
+        b AS (SELECT *, conf < 30 OR coalesce(pos > label_at AND conf < 90, false) AS u FROM a), c AS (SELECT *, lag(u, 1, false) OVER (PARTITION BY page, line ORDER BY pos) AS before FROM b),
+        d AS (SELECT *, sum(CASE WHEN u <> before THEN 1 ELSE 0 END) OVER (PARTITION BY page, line ORDER BY pos) AS run FROM c),
+        e AS (SELECT *, count(*) OVER r AS size, max(length(text)) OVER r AS long, min(pos) OVER r AS first FROM d WINDOW r AS (PARTITION BY page, line, run))
+        SELECT page, kind, count(*) AS words FROM (SELECT page, CASE WHEN NOT u THEN NULL WHEN first > label_at THEN 'handwritten' WHEN long <= 3 AND (size >= 2 OR size = n) THEN 'illegible' END AS kind FROM e)
+        WHERE kind IS NOT NULL GROUP BY page, kind"""
+)
 def w12_unread_runs(spark, sf_dir):
     rows = boxes(spark, sf_dir).withColumn("key", F.col("text"))
     runs = layout.unread_runs(rows, ["page", "line"], F.col("conf") < 30, F.col("text").endswith(":"))
@@ -1219,19 +1250,27 @@ def j10_anti_overlap(spark, sf_dir):
     return layout.without_overlap(lines.filter("not marked").drop("marked"), lines.filter("marked").drop("marked"), "page", ["line"]).select("page", "line")
 
 
-@query()
+@query(
+    f"""WITH {BOXES}, l AS (SELECT page, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY page, line)
+        SELECT a.page, b.line, list(a.text ORDER BY a.x0, a.text) AS tokens FROM boxes a JOIN l b ON a.page = b.page WHERE regexp_full_match(a.text, '[A-Za-z]+')
+          AND greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest(1, least(a.y1 - a.y0, b.y1 - b.y0)) >= 0.5
+          AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / greatest(1, least(a.x1 - a.x0, b.x1 - b.x0)) >= 0.8 GROUP BY a.page, b.line"""
+)
 def j9_inserted_tokens(spark, sf_dir):
     b = boxes(spark, sf_dir)
     tokens = b.filter(F.col("text").rlike("^[A-Za-z]+$")).select("page", "text", "x0", "y0", "x1", "y1")
     return layout.insert_tokens(tokens, layout.line_boxes(b, "page", "line").drop("text", "conf"), "page")
 
 
-@query()
+@query(
+    f"""WITH {NUMBERS} SELECT page, regexp_extract(text, '^[^0-9]*') || regexp_replace(text, '[^0-9]', '', 'g') || regexp_extract(text, '[^0-9]*$') AS text, x0::INT AS x0
+        FROM numbers WHERE regexp_matches(text, '[0-9]')"""
+)
 def j8_replaced_numbers(spark, sf_dir):
     """A second reader that sees the digits of every number word, one word after the other."""
     from verso.operators import numerals
 
-    words = boxes(spark, sf_dir).select("page", "text", "conf", "x0", "y0", "x1", "y1")
+    words = number_boxes(spark, sf_dir).select("page", "text", "conf", "x0", "y0", "x1", "y1")
     digits = values.digits_only(F.col("text"))
     reads = words.withColumn("text", digits).filter("text <> ''").select(
         "page", "text", F.lit(0.9).alias("prob"), F.lit(40.0).alias("line_h"), F.length("text").alias("n_digits"), "x0", "y0", "x1", "y1"
@@ -1407,3 +1446,7 @@ def j16_against_earlier(spark, sf_dir):
     half = lambda late: e.filter((F.col("ts") >= "2024-01-15") == F.lit(late)).groupBy("event_type").agg(F.avg("value").alias("mean"))
     out = ledger.against_earlier(half(True), half(False), ["event_type"], ["mean"])
     return out.select("event_type", F.bround("mean", 4).alias("mean"), "d_mean")
+
+
+# The other modules register their queries here as well.
+from verso.plans import files, rules  # noqa: E402, F401

@@ -145,6 +145,17 @@ def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def with_truth(files: DataFrame, truth: DataFrame, key: str, floor: int = 200) -> DataFrame:
+    """A manifest joined with what is known of its files: `truth` is (key, subject, dpi).
+
+    Adds template_id, the group of files with one subject, and below_floor, whether the resolution is too
+    low to read; files that nothing is known of keep nulls.
+    """
+    joined = files.join(truth.select(key, "subject", "dpi"), key, "left")
+    template = F.when(F.col("subject").isNotNull(), F.concat(F.lit("t_"), F.substring(F.sha1("subject"), 1, 8)))
+    return joined.withColumns({"template_id": template, "below_floor": F.col("dpi") < floor})
+
+
 def accepted_upload(content: Column, cap: int) -> Column:
     """413 above the size cap, 400 for an unknown format, else 200."""
     head = F.hex(F.substring(content, 1, 4))
