@@ -84,3 +84,64 @@ def test_ledger(spark):
     assert [r["is_best"] for r in out] == [True, True, False, False, True] and [r["worse_runs"] for r in out] == [0, 0, 1, 2, 0]
     assert ledger.best_row(rows, "s", "i").first()["i"] == 5
     assert [r["i"] for r in ledger.newest(rows, "i", 2, "i").collect()] == [5, 4]
+
+
+def test_guarded_fixes(spark):
+    words = spark.createDataFrame([(0, "haus", 50.0), (1, "häus", 50.0), (2, "häus", 85.0), (3, "hä", 10.0), (4, "häu5", 10.0), (5, "hauss", 84.9)], "i int, word string, conf double")
+    lex = spark.createDataFrame([("haus",), ("ha",)], "word string")
+    got = {r["i"]: (r["fixed"], r["rule"]) for r in lexicon.fix_words(words, lex, ("aä",), script="^[a-zä]+$").collect()}
+    assert got == {0: ("haus", "kept"), 1: ("haus", "moved"), 2: ("häus", "kept"), 3: ("hä", "kept"), 4: ("häu5", "kept"), 5: ("haus", "single")}
+
+
+def test_competing_readings(spark):
+    schema = "page long, line int, pos int, text string, key string, conf double, x0 int, y0 int, x1 int, y1 int"
+    row = lambda line, pos, text, conf, y=None: (1, line, pos, text, text, conf, pos * 50, 50 * line if y is None else y, pos * 50 + 40, (50 * line if y is None else y) + 40)
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    native = make(row(0, 0, "سلام", 95.0), row(0, 1, "2-", 30.0), row(0, 2, "دنیا", 90.0), row(1, 0, "xx", 20.0), row(1, 1, "دو", 20.0))
+    foreign = make(row(0, 0, "qq", 40.0), row(0, 1, "Roya", 92.0), row(0, 2, "zz", 60.0), row(1, 0, "Hello", 90.0), row(1, 1, "a", 90.0), row(2, 0, "low", 50.0))
+    layouts = make(row(0, 0, "۱۲", 80.0, 300))
+    sparse = make(row(5, 0, "free", 50.0, 600), row(6, 0, "near", 50.0, 310), row(7, 0, "n0", 50.0, 800))
+    got = sorted((r["reading"], r["line"], r["pos"], r["text"]) for r in layout.competing_readings(native, foreign, layouts, sparse, "page").collect())
+    assert [g for g in got if g[0] == "mix"] == [("mix", 0, 0, "سلام"), ("mix", 0, 1, "Roya"), ("mix", 0, 2, "دنیا")]
+    assert [g[1] for g in got if g[0] == "foreign"] == [0, 0, 0, 1, 1] and [g[3] for g in got if g[0] == "sparse"] == ["free"]
+    assert len([g for g in got if g[0] == "native"]) == 5 and len([g for g in got if g[0] == "layout"]) == 1
+
+
+def test_readings_against_a_plain_search(spark):
+    """Best first, then exchanges for what each kept reading displaced, over random boxes of one page."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(2)
+    rows = [(1, f"c{i}", round(rng.uniform(1, 20), 3), x, y, x + rng.randrange(30, 200), y + 40) for i in range(40) for x, y in [(rng.randrange(0, 600), rng.randrange(0, 400))]]
+
+    def over(a0, a1, b0, b1):
+        return max(0, min(a1, b1) - max(a0, b0)) / max(1, min(a1 - a0, b1 - b0))
+
+    def clash(a, b):
+        return over(a[4], a[6], b[4], b[6]) > 0.4 and over(a[3], a[5], b[3], b[5]) > 0.3
+
+    pool, kept = sorted(rows, key=lambda r: -r[2]), []
+    for r in pool:
+        if not any(clash(r, k) for k in kept):
+            kept.append(r)
+    for _ in range(3):
+        before = list(kept)
+        for k in before:
+            rest = [o for o in kept if o is not k]
+            free = [r for r in pool if r not in kept and clash(r, k) and not any(clash(r, o) for o in rest)][:8]
+            sets = [s for n in range(1, len(free) + 1) for s in combinations(free, n) if not any(clash(a, b) for a, b in combinations(s, 2))] if len(free) > 1 else []
+            best = max(sets, key=lambda s: sum(r[2] for r in s), default=())
+            if sum(r[2] for r in best) > k[2] * 1.05:
+                kept = [*rest, *best]
+        if kept == before:
+            break
+    df = spark.createDataFrame(rows, "page long, cand string, score double, x0 int, y0 int, x1 int, y1 int")
+    out = layout.select_readings(df, "page").collect()
+    assert sorted(r["cand"] for r in out) == sorted(k[1] for k in kept)
+    heads, number = [], {}
+    for k in sorted(kept, key=lambda r: ((r[4] + r[6]) / 2, -r[5])):
+        if not heads or over(k[4], k[6], heads[-1][4], heads[-1][6]) <= 0.5:
+            heads.append(k)
+        number[k[1]] = len(heads) - 1
+    assert {r["cand"]: r["row"] for r in out} == number

@@ -61,3 +61,20 @@ def test_scripts_and_words(spark):
 def test_contained(spark):
     df = spark.createDataFrame([("كتاب-ها", "این کتاب، ها است"), ("x", "yz")], "v string, p string")
     assert [r[0] for r in df.select(T.contained(F.col("v"), F.col("p"))).collect()] == [True, False]
+
+
+def test_shapes_and_script_tokens(spark):
+    df = spark.createDataFrame([("سلام",), ("دارا",), ("بی۲ء",), ("x",)], "w string")
+    got = [r[0] for r in df.select(T.shape(F.col("w"))).collect()]
+    assert got == ["\ufee1\ufe8e\ufee0\ufeb3", "\ufe8d\ufead\ufe8d\ufea9", "\ufe80\ufbff\ufe91", ""]
+    t = spark.createDataFrame([("كتاب (کتاب) abc ۱۲ مي‌روم e\u0301",)], "t string").select(F.array_sort(T.token_set(F.col("t")))).first()[0]
+    assert t == ["می روم", "کتاب"]
+
+
+def test_collapse_takes_long_runs_of_blanks(spark):
+    import time
+
+    runs = ["a" + " " * 200_000 + "b", "a \t \n\n \n b", " x\u00a0 y \n", "\n\n", "a\r\nb"]
+    began = time.time()
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in runs], "t string").select(T.collapse(F.col("t"))).collect()]
+    assert got == ["a b", "a\nb", "x y", "", "a\nb"] and time.time() - began < 60

@@ -63,3 +63,20 @@ def test_split_is_by_content(spark):
 def test_cache_key_follows_settings(spark):
     keys = each(spark, lambda t: V.cache_key(F.lit("img").cast("binary"), t, F.lit("x")), ["300", "400", "300"])
     assert keys[0] == keys[2] != keys[1]
+
+
+def test_scan_reports_values_as_they_were_read(spark):
+    text = "info@a-b.ir و x@y\nتلفن: ۳۸۳۸۸۵۷۵ - ۳۸۳۸۸۴۸۱ - ۳۸۳۸۸۲۶۱۰\nفکس ۰۵۱-۳۸۳۸۸۵۷۵\nتماس ۱۴۰۲/۱۲/۳۰\nمبلغ 12345678\r\n1403/12/30"
+    found = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(V.scan(F.col("t")).alias("f")).collect()
+    got = [(f["kind"], f["value"], f["line"], f["valid"]) for f in found[0]["f"]]
+    assert got == [
+        ("email", "info@a-b.ir", None, True), ("email", "x@y", None, False),
+        ("phone", "۳۸۳۸۸۵۷۵", 1, True), ("phone", "۳۸۳۸۸۴۸۱", 1, True), ("phone", "۳۸۳۸۸۲۶۱۰", 1, False), ("phone", "۰۵۱-۳۸۳۸۸۵۷۵", 2, True),
+        ("date", "۱۴۰۲/۱۲/۳۰", 3, False), ("date", "1403/12/30", 5, True),
+    ]
+    assert found[0]["f"][5]["normalized"] == "05138388575" and found[0]["f"][4]["reason"] == "nine digits" and found[1]["f"] == [] == found[2]["f"]
+
+
+def test_amounts_of_any_length(spark):
+    rows = ["1" + ",234" * 1500, "1" + ",234" * 1500 + ",23", "1,234"]
+    assert each(spark, V.amount_grouping, rows) == ["ok", "broken", "none"]

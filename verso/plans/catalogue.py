@@ -904,14 +904,14 @@ def a35_best_run(spark, sf_dir):
 
 
 @query(
-    """SELECT name, round_even(value, 4) AS value, value - base <= 0.5 AS passed FROM (SELECT event_type AS name, avg(value) AS value FROM events GROUP BY 1)
-       JOIN (SELECT event_type AS name, avg(value) AS base FROM events WHERE user_id < 25 GROUP BY 1) USING (name)"""
+    """SELECT name, round_even(value, 4) AS value, value - base <= 0.5 AS passed FROM (SELECT event_type AS name, avg(value) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
+       JOIN (SELECT event_type AS name, avg(value) AS base FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1) USING (name)"""
 )
 def a37_gate(spark, sf_dir):
+    """Later events against the earlier ones."""
     e = table(spark, sf_dir, "events")
-    metrics = e.groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("value"))
-    base = e.filter("user_id < 25").groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("base"))
-    return ledger.gate(metrics, base, F.lit(0.5), F.lit(False)).select("name", F.bround("value", 4).alias("value"), "passed")
+    means = lambda late, name: e.filter((F.col("ts") >= "2024-01-15") == F.lit(late)).groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias(name))
+    return ledger.gate(means(True, "value"), means(False, "base"), F.lit(0.5), F.lit(False)).select("name", F.bround("value", 4).alias("value"), "passed")
 
 
 @query(
@@ -1171,7 +1171,13 @@ def w12_unread_runs(spark, sf_dir):
     return runs.filter("kind is not null").groupBy("page", "kind").agg(F.count(F.lit(1)).alias("words"))
 
 
-@query()
+@query(
+    f"""WITH {SEGMENTS}, p AS (SELECT page, line, segment AS piece, string_agg(text, ' ' ORDER BY pos) AS text, max(x1) AS x1, sum(CASE WHEN conf >= 40 THEN length(text) * (conf / 100) * (conf / 100) ELSE 0 END) AS score
+          FROM cut GROUP BY page, line, segment),
+        pairs AS (SELECT a.page, a.line, a.piece, string_split(a.text, '') AS ta, string_split(b.text, '') AS tb FROM p a JOIN p b ON a.page = b.page AND a.line = b.line AND (a.score < b.score OR (a.score = b.score AND a.piece > b.piece))),
+        worse AS (SELECT DISTINCT page, line, piece FROM pairs WHERE {edits.common_part("ta", "tb")}[1] >= least(len(ta), len(tb)) * 0.6)
+        SELECT page, line, string_agg(text, ' ' ORDER BY x1 DESC, text) AS text, round_even(sum(score), 6) AS score FROM p ANTI JOIN worse USING (page, line, piece) GROUP BY page, line"""
+)
 def c7_joined_rows(spark, sf_dir):
     pieces = layout.segments(boxes(spark, sf_dir).withColumn("key", F.col("text")), ["page", "line"], F.lit(True))
     lines = layout.line_boxes(pieces, "page", "line", "segment").withColumnRenamed("segment", "piece")
@@ -1196,6 +1202,17 @@ def v10_synthetic_values(spark, sf_dir):
     return generators.mixture(spark, 2000)
 
 
+@query()
+def c8_competing_readings(spark, sf_dir):
+    """Two models' words of the same lines, a layout pass that reads some lines, and a sparse pass over all."""
+    words = boxes(spark, sf_dir).withColumn("key", F.col("text"))
+    place = F.col("pos") % 3
+    native = words.withColumns({"text": F.when(place == 0, F.concat("text", F.lit("é"))).when(place == 1, F.concat("text", F.lit("ü"))).otherwise(F.lit("2-")), "conf": F.when(place == 2, 30.0).otherwise(95.0)})
+    layouts = words.filter("line % 2 = 0")
+    found = layout.competing_readings(native, words, layouts, words, "page", letter="[à-ÿ]")
+    return found.groupBy("page", "reading").agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("text")).alias("chars"))
+
+
 # ---- more projections, sets and samples --------------------------------------------------------
 
 NEXT = "SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations"
