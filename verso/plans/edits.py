@@ -3,28 +3,39 @@
 from __future__ import annotations
 
 
-def _table(a: str, b: str, first: str, start: str) -> str:
-    """Last row of the edit table of the lists `a` (down) and `b` (across), the first column and row given.
+def _table(a: str, b: str, across: str, start: str) -> str:
+    """Last row of the edit table of the number lists `a` (down) and `b` (across), the first row given.
 
     A row is made as a whole: steps down and aslant first, then those across as a running minimum of the
-    entries less their place, in passes over distances 1, 2, 4 and so on.
+    entries less their place, in passes over distances 1, 2, 4 and so on. `across` is the first entry of a row.
     """
-    here = f"CASE WHEN k = 1 THEN {first} ELSE least(row[k] + 1, row[k - 1] + CASE WHEN {a}[i[1]] = {b}[k - 1] THEN 0 ELSE 1 END) END - k"
+    here = f"CASE WHEN k = 1 THEN {across} ELSE least(x + 1, row[k - 1] + CASE WHEN c[1] = {b}[k - 1] THEN 0 ELSE 1 END) END - k"
+
     value = f"list_transform(row, lambda x, k: {here})"
     for n in range(20):
         near = f"list_transform(v{n}, lambda x, k: least(x, CASE WHEN k > {1 << n} THEN v{n}[k - {1 << n}] ELSE x END))"
         value = f"list_transform([{value}], lambda v{n}: CASE WHEN len(v{n}) > {1 << n} THEN {near} ELSE v{n} END)[1]"
-    return f"list_reduce(list_transform(range(1, len({a}) + 1), lambda x: [x]), lambda row, i: list_transform({value}, lambda x, k: x + k), {start})"
+    return f"list_reduce(list_transform({a}, lambda x: [x]), lambda row, c: list_transform({value}, lambda x, k: x + k), {start})"
+
+
+def letters(text: str) -> str:
+    """A text as the numbers of its letters."""
+    return f"list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT)"
+
+
+def numbers_of(words: str) -> str:
+    """A list of words as numbers, equal for equal words."""
+    return f"list_transform({words}, lambda x: (hash(x) >> 1)::BIGINT)"
 
 
 def distance(a: str, b: str) -> str:
-    """Edit distance of two lists."""
-    return _table(a, b, "i[1]", f"range(0, len({b}) + 1)") + "[-1]"
+    """Edit distance of two number lists."""
+    return _table(a, b, "x + 1", f"range(0, len({b}) + 1)") + "[-1]"
 
 
 def part_distance(a: str, b: str) -> str:
-    """Edit distance of list `a` from the part of `b` that is nearest to it."""
-    return f"list_min({_table(a, b, 'i[1]', f'list_transform(range(0, len({b}) + 1), lambda x: 0::BIGINT)')})"
+    """Edit distance of number list `a` from the part of `b` that is nearest to it."""
+    return f"list_min({_table(a, b, 'x + 1', f'list_transform(range(0, len({b}) + 1), lambda x: 0::BIGINT)')})"
 
 
 def common_part(a: str, b: str) -> str:
@@ -59,18 +70,18 @@ SIMILAR = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 1.0 WHEN least(
 def of_documents(fields: str) -> dict[str, str]:
     """Queries over the fields of documents; `fields` is the common part."""
     return {
-        "k2_wer_pairs": f"""WITH {fields}, w AS (SELECT doc, field, {TOKENS.format("gt")} AS a, {TOKENS.format("pred")} AS b FROM fields WHERE gt <> '' AND pred <> '')
+        "k2_wer_pairs": f"""WITH {fields}, w AS (SELECT doc, field, {numbers_of(TOKENS.format("gt"))} AS a, {numbers_of(TOKENS.format("pred"))} AS b FROM fields WHERE gt <> '' AND pred <> '')
             SELECT doc, field, {distance("a", "b")}::INT AS word_edits, len(a)::INT AS gt_words FROM w""",
     }
 
 
 def of_conversations(fields: str) -> dict[str, str]:
     """Queries over the fields of conversations: `fields` is the common part."""
-    words = f"w AS (SELECT *, {TOKENS.format('gt')} AS a, {TOKENS.format('pred')} AS b FROM outcomes)"
+    words = f"w AS (SELECT *, {numbers_of('a')} AS na, {numbers_of('b')} AS nb FROM (SELECT *, {TOKENS.format('gt')} AS a, {TOKENS.format('pred')} AS b FROM outcomes))"
     names = "(SELECT unnest(['f000', 'f001', 'f002', 'f003', 'f004', 'f999']) AS field)"
     return {
         "a9_per_field": f"""WITH {fields}, {words}, s AS (SELECT field, outcome, gt, pred, CASE WHEN outcome = 'scored' THEN levenshtein(gt, pred) END AS edits, CASE WHEN outcome = 'scored' THEN length(gt) END AS n,
-              CASE WHEN outcome = 'scored' THEN {distance("a", "b")} END AS we, CASE WHEN outcome = 'scored' THEN len(a) END AS wn FROM w),
+              CASE WHEN outcome = 'scored' THEN {distance("na", "nb")} END AS we, CASE WHEN outcome = 'scored' THEN len(a) END AS wn FROM w),
             t AS (SELECT field, count(*) FILTER (outcome <> 'unscoreable') AS n, count(*) FILTER (outcome = 'unscoreable') AS unscoreable, round_even(sum(edits) / nullif(sum(n), 0), 4) AS cer,
               round_even(sum(we) / nullif(sum(wn), 0), 4) AS wer, count(*) FILTER (outcome = 'scored' AND gt = pred) AS exact, count(*) FILTER (outcome = 'omission') AS omissions FROM s GROUP BY field)
             SELECT field, coalesce(n, 0) AS n, coalesce(unscoreable, 0) AS unscoreable, cer, wer, coalesce(exact, 0) AS exact, coalesce(omissions, 0) AS omissions FROM {names} LEFT JOIN t USING (field)""",
@@ -92,8 +103,8 @@ def of_conversations(fields: str) -> dict[str, str]:
             SELECT CASE WHEN coalesce(sim, 0) < 0.4 THEN 'absent' WHEN word = reverse(token) THEN 'exact_reversal' WHEN list_sort(string_split(word, '')) = list_sort(string_split(token, '')) THEN 'any_permutation'
               WHEN len(list_filter(['INV-', 'EMP-', 'REF-', 'DOC-', 'NO-'], lambda x: starts_with(token, x) AND word = substr(token, length(x) + 1))) > 0 THEN 'prefix_stripped' ELSE 'genuine_misread' END AS bucket,
               count(*) AS n FROM r GROUP BY 1""",
-        "a28_placement": f"""WITH {fields}, c AS (SELECT doc, string_split(string_agg(pred, ' ' ORDER BY field), '') AS content FROM fields GROUP BY doc),
-            b AS (SELECT field, length(gt) AS n, levenshtein(gt, coalesce(pred, '')) AS named, {part_distance("g", "content")} AS free FROM (SELECT *, string_split(gt, '') AS g FROM fields WHERE has_gt AND gt <> '') JOIN c USING (doc))
+        "a28_placement": f"""WITH {fields}, c AS (SELECT doc, {letters("string_agg(pred, ' ' ORDER BY field)")} AS content FROM fields GROUP BY doc),
+            b AS (SELECT field, length(gt) AS n, levenshtein(gt, coalesce(pred, '')) AS named, {part_distance("g", "content")} AS free FROM (SELECT *, {letters('gt')} AS g FROM fields WHERE has_gt AND gt <> '') JOIN c USING (doc))
             SELECT field, round_even(sum(named) / sum(n), 4) AS named_cer, round_even(sum(free) / sum(n), 4) AS content_cer, round_even((sum(named) - sum(free)) / sum(n), 4) AS assignment_loss,
               round_even(count(*) FILTER (named <= n * 0.5) / count(*), 4) AS placed FROM b GROUP BY field""",
     }
@@ -103,7 +114,7 @@ def of_turns(atoms: str) -> dict[str, str]:
     """Queries over neighbouring turns; `atoms` gives the digit groups of `text`."""
     lines = f"""t AS ({TURNS}), p AS (SELECT conv_id * 1000 + turn AS page, next AS page_text, string_split(text, chr(10)) AS ls FROM t WHERE next IS NOT NULL),
         l AS (SELECT page, page_text, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM p),
-        e AS (SELECT page, page_text, i, line, {part_distance("a", "b")} AS edits FROM (SELECT *, string_split(line, '') AS a, string_split(page_text, '') AS b FROM l WHERE line <> ''))"""
+        e AS (SELECT page, page_text, i, line, {part_distance("a", "b")} AS edits FROM (SELECT *, {letters('line')} AS a, {letters('page_text')} AS b FROM l WHERE line <> ''))"""
     items = lambda source, name, what: (
         f"{name} AS (SELECT page, item, count(*) AS n FROM (SELECT page, unnest({what}) AS item FROM (SELECT page, {source}) ) GROUP BY ALL)"
     )
@@ -111,7 +122,7 @@ def of_turns(atoms: str) -> dict[str, str]:
     kept, page = "line AS text FROM k", "page_text AS text FROM p"
     hits = lambda a, b: f"(SELECT sum({a}.n) FROM {a}), (SELECT sum(least({a}.n, {b}.n)) FROM {a} JOIN {b} USING (page, item))"
     return {
-        "k3_semiglobal": f"SELECT conv_id, turn, {part_distance('a', 'b')}::INT AS edits, length(text)::INT AS n FROM (SELECT *, string_split(text, '') AS a, string_split(next, '') AS b FROM ({TURNS}) WHERE next IS NOT NULL)",
+        "k3_semiglobal": f"SELECT conv_id, turn, {part_distance('a', 'b')}::INT AS edits, length(text)::INT AS n FROM (SELECT *, {letters('text')} AS a, {letters('next')} AS b FROM ({TURNS}) WHERE next IS NOT NULL)",
         "k4_unsupported_lines": f"WITH {lines} SELECT page, printf('f%03d', i) AS line, line AS text, edits::INT AS edits FROM e WHERE trim(line) <> '' AND edits > length(line) * 0.5",
         "k6_common_substring": f"""SELECT conv_id, turn, substr(text, (m[2] - m[1] + 1)::INT, m[1]::INT) AS common FROM (SELECT *, {common_part("a", "b")} AS m
             FROM (SELECT *, string_split(text, '') AS a, string_split(next, '') AS b FROM ({TURNS}) WHERE next IS NOT NULL))""",

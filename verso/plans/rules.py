@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verso.functions import generators, text, values
 from verso.operators import fulltext, letters, lexicon, numerals, scoring
 from verso.plans.catalogue import BOXES, CONV, LATIN_GROUPS, NEXT, PLAIN, SKELETON, WORDS, boxes, conversation_fields, lower_words, next_turns, plain, query, table
-from verso.plans.edits import TOKENS, distance
+from verso.plans.edits import TOKENS, distance, numbers_of
 
 #: Latin letters and the letters that stand for them in planted text.
 LATIN, FA = "abcdefghijklmnopqrstuvwxyz", "ابپتیجچهنخدلمورزژسشصکگفقعغ"
@@ -193,7 +193,7 @@ def c4_guarded_fixes(spark, sf_dir):
 
 
 @query(
-    f"""WITH t AS (SELECT conv_id, {PLAIN.format("text")} AS a, {PLAIN.format("next")} AS b FROM ({NEXT}) WHERE next IS NOT NULL), w AS (SELECT *, {TOKENS.format("a")} AS wa, {TOKENS.format("b")} AS wb FROM t)
+    f"""WITH t AS (SELECT conv_id, {PLAIN.format("text")} AS a, {PLAIN.format("next")} AS b FROM ({NEXT}) WHERE next IS NOT NULL), w AS (SELECT *, {numbers_of(TOKENS.format("a"))} AS wa, {numbers_of(TOKENS.format("b"))} AS wb FROM t)
         SELECT conv_id, count(*) AS pages, round_even(avg(round_even({distance("wa", "wb")} / greatest(len(wa), 1), 4)), 6) AS wer, round_even(avg(round_even(levenshtein(a, b) / greatest(length(a), 1), 4)), 6) AS cer,
           sum(CASE WHEN length(b) > 2 * length(a) THEN 1 ELSE 0 END)::BIGINT AS junk FROM w GROUP BY conv_id"""
 )
