@@ -424,7 +424,9 @@ def cut_repeats(df: DataFrame, rule: Rule, id_col: str, text_col: str, words: bo
     shards = max(parts, int(size / (block_mb * 1e6)) + 1)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    # Rows without an identifier are dealt by their text.
+    dealt = F.xxhash64("_id", F.when(F.col("_id").isNull(), F.col("_text")))
+    rows = rows.withColumn("_block", F.pmod(dealt, F.lit(blocks)).cast("int"))
     packed = "shard long, _block int, data binary"
     anchors = rows.groupBy("_block").applyInPandas(_anchors(rule, shards), packed)
     hits = anchors.groupBy("shard").applyInPandas(_hits(crowd), "_block int, data binary")

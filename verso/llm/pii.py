@@ -125,7 +125,7 @@ def find(
     threshold: float = 0.9,
     support: int = 2,
 ) -> DataFrame:
-    """Rows with all spans: id, text, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, _all.
+    """Rows with all spans: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_base (the four kinds), n_term, _all.
 
     A term is a run of letters of the row's text, folded to lower case. It is disclosing if at least
     `support` different texts have it together with some entity and pmi / ic is at least `threshold`
@@ -184,6 +184,7 @@ def find(
         *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
         _joined(F.col("_all")).alias("spans"),
+        F.size("_base").cast("long").alias("n_base"),
         F.size("_extra").cast("long").alias("n_term"),
         "_all",
     )
