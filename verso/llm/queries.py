@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup, fm_index, language_id, mixing, packing, pii, quality_rules, run_index, simhash, site_quality
+from verso.llm import exact_dedup, fm_index, language_id, merkle, mixing, oracles, packing, pii, quality_rules, run_index, simhash, site_quality
 from verso.llm.common import documents
 
 
@@ -47,6 +47,10 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).drop("row_key")
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.tamper_check(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_run_index": op2_run_index,
@@ -58,9 +62,11 @@ QUERIES = {
     "op8_site_quality": op8_site_quality,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE_SQL = {
+    "op11_merkle": oracles.MERKLE,
     "op2_run_index": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
              w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
