@@ -41,3 +41,16 @@ MERKLE = f"""
     SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified
     FROM folded JOIN subroots USING (g), (SELECT node AS root FROM top WHERE n = 1)
 """
+
+URL_FILTER = """
+    WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    rules(h, s, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    listed AS (SELECT DISTINCT host AS h FROM p WHERE list_has_any(regexp_split_to_array(host, '[.-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'spam']))
+    SELECT page_id, host, path,
+           (SELECT max_by(h || s, (length(h || s), length(h))) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS rule,
+           coalesce((SELECT max_by(v, (length(h || s), length(h))) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)),
+                    CASE WHEN EXISTS (SELECT 1 FROM listed WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM p
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup, fm_index, language_id, merkle, mixing, oracles, packing, pii, quality_rules, run_index, simhash, site_quality
+from verso.llm import exact_dedup, fm_index, language_id, merkle, mixing, oracles, packing, pii, quality_rules, run_index, simhash, site_quality, url_filter
 from verso.llm.common import documents
 
 
@@ -51,6 +51,18 @@ def op11_merkle(spark, sf_dir):
     return merkle.tamper_check(documents(spark, sf_dir))
 
 
+#: Rules of the url query (host, path, verdict); fixed by its contract.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Words in a host, between dots and hyphens, for which it is listed.
+HOST_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+
+
+def op12_url_filter(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judged(pages, rules, url_filter.suspect_hosts(pages, HOST_WORDS)).drop("url")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_run_index": op2_run_index,
@@ -63,10 +75,12 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op12_url_filter": op12_url_filter,
 }
 
 ORACLE_SQL = {
     "op11_merkle": oracles.MERKLE,
+    "op12_url_filter": oracles.URL_FILTER,
     "op2_run_index": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
              w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
