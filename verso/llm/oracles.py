@@ -54,3 +54,28 @@ URL_FILTER = """
                     CASE WHEN EXISTS (SELECT 1 FROM listed WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
     FROM p
 """
+
+PREFIX_TRIE = f"""
+    WITH t AS (
+        SELECT conv_id AS c, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS token, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_words,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+        FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT c, {CRC32.format(x="c")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+    built AS (
+        SELECT c.c, 0 AS part, i, token, n_words FROM c JOIN t ON t.c = c.c - c.c % 20 AND i <= h
+        UNION ALL
+        SELECT c.c, 1, i, token, n_words FROM c JOIN t ON t.c = c.c AND i > h),
+    path AS (
+        SELECT c.c, coalesce(list(token ORDER BY part, i) FILTER (token IS NOT NULL), []) AS k, coalesce(list(n_words ORDER BY part, i) FILTER (token IS NOT NULL), []) AS ws
+        FROM c LEFT JOIN built USING (c) GROUP BY c.c),
+    prefix AS (SELECT c, k, ws, unnest(range(len(k) + 1)) AS d FROM path),
+    node AS (
+        SELECT k[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(ws[d]), 0) AS saved,
+               sha256(coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (len(k) = d), '')) AS ends_sha256
+        FROM prefix GROUP BY k[1:d], d),
+    child AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+    full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (k)),
+    under AS (SELECT k[1:e] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS e FROM full_node) GROUP BY k[1:e])
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+    FROM full_node n JOIN under USING (k) LEFT JOIN node p ON n.d > 0 AND p.k = n.k[1:n.d - 1]
+"""

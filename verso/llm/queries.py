@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from verso.llm import exact_dedup, fm_index, language_id, merkle, mixing, oracles, packing, pii, quality_rules, run_index, simhash, site_quality, url_filter
+from pyspark.sql import functions as F
+
+from verso.llm import exact_dedup, fm_index, language_id, merkle, mixing, oracles, packing, pii, prefix_trie, quality_rules, run_index, simhash, site_quality, url_filter
 from verso.llm.common import documents
 
 
@@ -59,10 +61,15 @@ HOST_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
 
 def op12_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    fields = [F.struct(*(F.lit(x).alias(n) for n, x in zip(("host", "path", "verdict"), rule, strict=True))) for rule in RULES]
+    rules = spark.range(1).select(F.inline(F.array(*fields)))
     return url_filter.judged(pages, rules, url_filter.suspect_hosts(pages, HOST_WORDS)).drop("url")
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_run_index": op2_run_index,
@@ -76,11 +83,13 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
     "op12_url_filter": op12_url_filter,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
     "op11_merkle": oracles.MERKLE,
     "op12_url_filter": oracles.URL_FILTER,
+    "op13_prefix_trie": oracles.PREFIX_TRIE,
     "op2_run_index": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
              w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
