@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from verso.sources import readers, sinks
+from verso.sources import dumps, readers, sinks
 from verso.streaming import jobs
 
 
@@ -25,10 +25,50 @@ def test_sql_dump(spark, tmp_path):
 
     with gzip.open(tmp_path / "d.sql.gz", "wt", encoding="utf-8") as f:
         f.write("CREATE TABLE x;\nINSERT INTO `words` VALUES (1,'a\\'b','m, (x)'),(2,'c','d\\n'),(3,'x');\nINSERT INTO `words` VALUES ('7z','q','r');\n")
-    rows = sorted((r["id"], r["word"], r["meaning"]) for r in readers.read_sql_dump(spark, str(tmp_path / "*.sql.gz")).collect())
+    rows = sorted((r["id"], r["word"], r["meaning"]) for r in dumps.read_sql_dump(spark, str(tmp_path / "*.sql.gz")).collect())
     assert rows == [(1, "a'b", "m, (x)"), (2, "c", "d"), (7, "q", "r")]
 
 
+DUMP = """-- it's a dump; INSERT INTO words VALUES (0,'no','no');
+/*!40101 SET x='\\' */;
+CREATE TABLE `words` (`id` int, `word` varchar(9) DEFAULT ';(');\r
+INSERT INTO `words` VALUES (1,'a','one;
+two'),(2,'b','x');\r
+# don't
+insert into words (id, word, meaning)\r
+ values (3, 'c;\r
+', '--'), /* (4,'d','e'); */ (5,'\\\\','\\'')  ; INSERT INTO other VALUES (9,'n','n'); INSERT IGNORE INTO words VALUES (6,"q;'(x)",'it''s'),(NULL,' p ',7);
+INSERT INTO words VALUES (8,'torn',"""
+DUMP_ROWS = [(1, "a", "one;\ntwo"), (2, "b", "x"), (3, "c;", "--"), (5, "\\", "'"), (6, "\"q;'(x)\"", "its"), (0, "p", "7")]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_dump_scanner_keeps_state_between_pieces(size):
+    scanner = dumps.DumpScanner("words")
+    found = [f for i in range(0, len(DUMP), size) for f in scanner.feed(DUMP[i : i + size])] + list(scanner.feed("", last=True))
+    assert [(int("".join(c for c in f[0] if c.isdigit()) or 0), f[1], f[2]) for f in found] == DUMP_ROWS
+
+
+def test_sql_dump_over_splits_and_files(spark, tmp_path):
+    """A plain file that Spark reads in many splits, a gzipped one, and a line that is longer than a piece."""
+    import gzip
+
+    long = "INSERT INTO words VALUES " + ",".join(f"({i},'w{i}','" + "m;\\n" * 40 + "')" for i in range(500)) + ";\n"
+    (tmp_path / "a.sql").write_text(DUMP.rsplit("\n", 1)[0] + "\n" + long * 3, encoding="utf-8", newline="")
+    with gzip.open(tmp_path / "b.sql.gz", "wt", encoding="utf-8", newline="") as f:
+        f.write(DUMP)
+    (tmp_path / "c.sql").write_text("", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        rows = dumps.read_sql_dump(spark, str(tmp_path), "words").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    of = lambda end: [(r["id"], r["word"], r["meaning"]) for r in sorted(rows, key=lambda r: r["pos"]) if r["file"].endswith(end)]
+    assert of("b.sql.gz") == DUMP_ROWS
+    assert of("a.sql") == DUMP_ROWS + [(i, f"w{i}", ("m;\n" * 40).strip()) for i in range(500)] * 3
+
+
 def test_word_boxes(spark, tmp_path):
     head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
     body = ["5\t1\t1\t1\t1\t1\t10\t20\t30\t5\t91.5\tone", "4\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1\t", "5\t1\t1\t1\t1\t2\t50\t20\t30\t5\t-1\ttwo", "5\t2\t1\t1\t1\t1\t1\t2\t3\t4\tbad\tx", '5\t2\t1\t1\t1\t2\t1\t2\t3\t4\t50\t"q']

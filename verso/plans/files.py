@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from verso.plans.catalogue import BOXES, boxes, query, table
 from verso.session import shared_folder
-from verso.sources import readers, sinks
+from verso.sources import dumps, readers, sinks
 from verso.streaming import jobs
 
 
@@ -60,7 +60,26 @@ def io5_sql_dump(spark, sf_dir):
     quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("'"))
     row = F.concat(F.lit("INSERT INTO `words` VALUES ("), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"), F.lit(","), quoted("role"), F.lit(","), quoted("text"), F.lit(")"))
     table(spark, sf_dir, "conversations").select(row.alias("value")).write.option("lineSep", ";\n").text(path)
-    return readers.read_sql_dump(spark, path).select("id", "word", F.sha2("meaning", 256).alias("digest"))
+    return dumps.read_sql_dump(spark, path).select("id", "word", F.sha2("meaning", 256).alias("digest"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id * 1000 + turn AS id, role || ';' || chr(10) || role AS word, 'm' || replace(text, '. ', ';' || chr(10)) || '\\x' AS meaning FROM conversations)
+       SELECT id, word, sha256(meaning) AS digest FROM t UNION ALL SELECT id + 500, word || chr(39), sha256(replace(meaning, chr(10), chr(13) || chr(10))) FROM t"""
+)
+def io5_planted_dump(spark, sf_dir):
+    """Gzipped dumps with line ends and semicolons in literals, comments with quotes, and several statements a line."""
+    path = place(spark, "dump")
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    word = F.concat("role", F.lit(";\n"), "role")
+    meaning = F.concat(F.lit("m"), F.replace("text", F.lit(". "), F.lit(";\n")), F.lit("\\x"))
+    first = F.concat(F.lit("/* it's; */ INSERT INTO `words` (`id`, `word`, `meaning`) VALUES ("), number, F.lit(", "), quoted(word), F.lit(", "), quoted(meaning), F.lit("),\r\n('id 7', 'two fields');"))
+    other = F.concat(F.lit("INSERT INTO other VALUES (1,'a;','(b'); insert into words(id,word,meaning) values("), number + 500, F.lit(","), quoted(F.concat(word, F.lit("'"))), F.lit(","))
+    last = F.concat(quoted(F.replace(meaning, F.lit("\n"), F.lit("\r\n"))), F.lit(",'more');\r\n-- don't; (1,'x','y')"))
+    lines = table(spark, sf_dir, "conversations").select(F.concat(first, other, last).alias("value"))
+    lines.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    return dumps.read_sql_dump(spark, path, "words").select("id", "word", F.sha2("meaning", 256).alias("digest"))
 
 
 WORD_LIST = "SELECT word FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark) WHERE regexp_full_match(word, '{0}')"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,59 +31,6 @@ def read_line_corpus(spark: SparkSession, glob: str, columns: list[str], limit:
     return rows.limit(limit) if limit else rows
 
 
-ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "0": "\0"}
-
-
-def value_tuples(statement: str) -> Iterator[list[str]]:
-    """Tuples of an INSERT statement's VALUES list: quoted strings with backslash escapes, bare words trimmed."""
-    import re
-
-    token = re.compile(r"'((?:[^'\\]|\\.)*)'|([(),;])|([^'(),;]+)", re.S)
-    fields: list[str] | None = None
-    part = ""
-    for quoted, mark, bare in token.findall(statement):
-        if fields is None:
-            if mark == "(":
-                fields, part = [], ""
-            elif mark == ";":
-                return
-        elif mark in (",", ")") and mark:
-            fields.append(part.strip())
-            part = ""
-            if mark == ")":
-                yield fields
-                fields = None
-        elif mark:
-            part += mark
-        else:
-            part += re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), quoted, flags=re.S) if quoted else bare
-
-
-def read_sql_dump(spark: SparkSession, glob: str) -> DataFrame:
-    """(id, word, meaning, file, pos) of the INSERT statements of dumps, one statement per line or more.
-
-    Files are read as text records that end with a statement, so a dump is never held whole.
-    """
-    lines = spark.read.option("lineSep", ";\n").text(glob).select("value", F.input_file_name().alias("file"))
-    statements = lines.filter(F.col("value").rlike("(?s)INSERT INTO .* VALUES"))
-    schema = "id long, word string, meaning string, file string, pos long"
-
-    def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for value, file in zip(pdf["value"], pdf["file"], strict=True):
-                body = value[value.index("VALUES") + 6 :] + ";"
-                for pos, fields in enumerate(value_tuples(body)):
-                    if len(fields) >= 3:
-                        digits = "".join(c for c in fields[0] if c in "0123456789")
-                        rows.append((int(digits or 0), fields[1], fields[2], file, pos))
-            yield pd.DataFrame(rows, columns=["id", "word", "meaning", "file", "pos"])
-
-    return statements.mapInPandas(parse, schema)
-
-
 def read_word_list(spark: SparkSession, path: str, allowed: str) -> DataFrame:
     """Words of a list, one per line: comments and lines with other characters are skipped, repeats are one."""
     word = F.trim("value")
