@@ -1466,4 +1466,4 @@ def j16_against_earlier(spark, sf_dir):
 
 
 # The other modules register their queries here as well.
-from verso.plans import files, rules  # noqa: E402, F401
+from verso.plans import clusters, files, rules  # noqa: E402, F401
