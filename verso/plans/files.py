@@ -256,6 +256,34 @@ def q4_fresh_results(spark, sf_dir):
     return streamed(jobs.fresh_results(spooled(spark, sf_dir, 100), lifetime="3650 days").select("job_id"), "fresh")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@query(f"""WITH e AS (SELECT user_id::BIGINT AS job_id, date_trunc('milliseconds', ts) AS ts, {STATUS} AS status FROM events WHERE user_id IS NOT NULL AND date_trunc('milliseconds', ts) < (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL 1 HOUR),
+    n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS later FROM e)
+    SELECT job_id, ts, status FROM e UNION ALL
+    SELECT job_id, ts + INTERVAL 6 HOUR, '404' FROM n WHERE later > ts + INTERVAL 6 HOUR OR later IS NULL AND ts + INTERVAL 6 HOUR < (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL 1 HOUR""")
+def q3_job_history(spark, sf_dir):
+    """What each job's status becomes and when: after six silent hours it is 404, as the watermark passes."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        events = spooled(spark, sf_dir, 100).withColumn("seq", F.lit(0))
+        return streamed(jobs.job_history(events, lifetime_s=6 * 3600), "history")
+    finally:
+        spark.conf.set(STORE, before)
+
+
+@query(f"SELECT job_id, status, count(*) AS n FROM (SELECT user_id::BIGINT AS job_id, {STATUS} AS status FROM events) GROUP BY ALL")
+def q2_worker_intake(spark, sf_dir):
+    """The spool is worked off two files at a time; a batch is written once, by its number in the ledger."""
+    at = place(spark, "intake")
+    work = lambda batch: batch.select("job_id", jobs.job_status(F.col("state")).alias("status"))
+    jobs.take_in(spark, spooled(spark, sf_dir, 2), f"{at}/ledger", f"{at}/rows", f"{at}/checkpoint", work)
+    return spark.read.parquet(f"{at}/rows").groupBy("job_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT {STATUS} AS status, count(*) AS n FROM events GROUP BY 1")
 def q5_intake(spark, sf_dir):
     """Two files of the spool at a time."""
