@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verso.functions import distance, text, values
-from verso.operators import audit, layout, ledger, lexicon, scoring, splits, statistics
+from verso.operators import audit, layout, ledger, lexicon, resampling, scoring, splits, statistics
 from verso.plans import edits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,20 @@ def a7_headline_by_source(spark, sf_dir):
     return scoring.headline(outcomes_light(spark, sf_dir), "source")
 
 
+@query()
+def a7_headline_intervals(spark, sf_dir):
+    """Headline figures with intervals by document and by source; drawn weights, which SQL has no equal of."""
+    return resampling.headline_intervals(outcomes_light(spark, sf_dir), ["lang"], "source")
+
+
+@query()
+def a15_intervals(spark, sf_dir):
+    """Rate of sound documents per language with both kinds of intervals, 2,000 resamples."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    unit = lambda kind, c: rows.groupBy("lang", F.lit(kind).alias("kind"), F.col(c).cast("string").alias("unit")).agg(F.sum("quality").alias("top"), F.count(F.lit(1)).alias("bottom"))
+    return resampling.intervals(unit("document", "doc_id").unionByName(unit("cluster", "source")), ["lang", "kind"])
+
+
 # ---- text --------------------------------------------------------------------------------------
 
 WS = "' \\t\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{202f}\\x{205f}\\x{3000}'"
