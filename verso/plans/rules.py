@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verso.functions import generators, text, values
+from verso.functions import bidi, generators, text, values
 from verso.operators import fulltext, letters, lexicon, numerals, scoring
 from verso.plans.catalogue import BOXES, CONV, LATIN_GROUPS, NEXT, PLAIN, SKELETON, WORDS, boxes, conversation_fields, lower_words, next_turns, plain, query, table
 from verso.plans.edits import TOKENS, distance, numbers_of
@@ -242,3 +242,19 @@ def j10_free_lines(spark, sf_dir):
 @query(f"({WORDS.format('documents')}) INTERSECT ({WORDS.format('benchmark')})")
 def u3_shared_words(spark, sf_dir):
     return lower_words(table(spark, sf_dir, "documents")).intersect(lower_words(table(spark, sf_dir, "benchmark")))
+
+
+RTL = "אבגדהוזחטיכלמנסעפצקרשתװױײ׳"
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM benchmark), h AS (SELECT word, length(word) * 37 AS n, translate(word, 'abcdefghijklmnopqrstuvwxyz', 'אבגדהוזחטיכלמנסעפצקרשתװױײ׳') AS rtl FROM w)
+       SELECT word, word || ' ' || n || '.' || n || ' (' || word || ') ' || reverse(rtl) || '/' || word || '@' || word || '. ' || n || ' ' || reverse(rtl) AS visual, length(rtl) AS n_chars FROM h"""
+)
+def f9_visual_order(spark, sf_dir):
+    """Lines of letters that run to the left with numbers, addresses and words that run to the right, as they stand on the page."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    rtl, n = F.translate("word", LATIN, RTL), (F.length("word") * 37).cast("string")
+    lit = F.lit
+    line = F.concat(rtl, lit(" "), "word", lit("@"), "word", lit(". "), n, lit("/"), rtl, lit(" ("), "word", lit(") "), "word", lit(" "), n, lit("."), n)
+    return words.select("word", bidi.visual_order(line).alias("visual"), F.length(rtl).cast("long").alias("n_chars"))
