@@ -5,6 +5,7 @@ from hashlib import sha256
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import empty, rows, table
 from verso.llm import fm_index, matching, run_index
@@ -62,6 +63,33 @@ def test_passages_equal_brute_force(spark):
         assert sorted(map(key, out)) == sorted(map(key, cut_words(data, 35)))
 
 
+def test_identifiers_of_other_types(spark):
+    """Strings are compared by their order, so "10" comes before "9"; a date is an identifier like any other."""
+    data = [(None if r[0] is None else str(r[0]), r[1]) for r in rows()]
+    place = {i: k for k, i in enumerate(sorted({i for i, _ in data if i is not None}))}
+    df = table(spark).withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = run_index.remove_repeated_substrings(df, block_mb=0.02)
+    assert dict(out.dtypes)["doc_id"] == "string"
+    want = cut_bytes([(None if i is None else place[i], t) for i, t in data], 50)
+    name = {k: i for i, k in place.items()}
+    assert sorted(map(key, out.collect())) == sorted(key((None if w[0] is None else name[w[0]], *w[1:])) for w in want)
+    found = fm_index.remove_repeated_passages(df, block_mb=0.02).drop("n_spans").collect()
+    assert sorted(map(key, found)) == sorted(map(key, cut_words(data, 35)))
+    dates = table(spark).withColumn("doc_id", F.date_add(F.lit("2020-01-01"), F.col("doc_id").cast("int")))
+    assert fm_index.remove_repeated_passages(dates, block_mb=0.02).filter("doc_id is not null").count() == sum(i is not None for i, _ in data)
+    assert run_index.remove_repeated_substrings(empty(spark).withColumn("doc_id", F.lit("x"))).count() == 0
+
+
+def test_order_of_a_text_with_more_ties_than_24_bits(monkeypatch):
+    """The two ways to sort ties give one order."""
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(0, 2, 3000 + 40)
+    order, new = matching.suffix_order(symbols, 8, 3000, 40)
+    monkeypatch.setattr(matching, "MOST_TIES", 100)
+    again = matching.suffix_order(symbols, 8, 3000, 40)
+    assert (order == again[0]).all() and (new == again[1]).all()
+
+
 def test_empty(spark):
     assert run_index.remove_repeated_substrings(empty(spark)).count() == 0
     assert fm_index.remove_repeated_passages(empty(spark)).count() == 0

@@ -115,7 +115,8 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
     A word goes if a passage of `window` words over it also starts anywhere else, in the same row or
     another. Words are compared by 48 bits of their hashes, within passages whose other words agree.
     Null counts as a text without words; shorter texts stay whole; repeated rows cut each other; null
-    identifiers are like any other; an empty table gives no rows. Other columns are not read.
+    identifiers are like any other, which are of any type with an order; an empty table gives no rows. Other
+    columns are not read.
     """
     rule = Rule(window, RULE.gram, RULE.unit, RULE.spell, RULE.earlier, RULE.index)
     out = cut_repeats(df, rule, id_col, text_col, words=True, **options)

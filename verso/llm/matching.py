@@ -28,8 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verso.operators.statistics import numbered
+
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 LAST_ID = np.iinfo(np.int64).max
+#: Ties whose numbers have room beside 40 bits of symbols.
+MOST_TIES = 1 << 24
+#: Types of identifiers that are compared as they are.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -424,6 +430,17 @@ def cut_repeats(df: DataFrame, rule: Rule, id_col: str, text_col: str, words: bo
     shards = max(parts, int(size / (block_mb * 1e6)) + 1)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    if kind not in WHOLE:
+        # Identifiers of any other type are numbered in their order, and come back at the end.
+        order = numbered(rows.filter("_id is not null").select("_id").distinct(), [], "_id").select(F.col("_id").alias("_name"), "_i")
+        rows = rows.join(order, F.col("_id") == F.col("_name"), "left").select(F.col("_i").alias("_id"), "_text")
+        cut = _cut_rows(rows, "long", rule, words, blocks, shards, crowd)
+        return cut.join(order, F.col("_id") == F.col("_i"), "left").select(F.col("_name").alias("_id"), *cut.columns[1:])
+    return _cut_rows(rows, kind, rule, words, blocks, shards, crowd)
+
+
+def _cut_rows(rows: DataFrame, kind: str, rule: Rule, words: bool, blocks: int, shards: int, crowd: int) -> DataFrame:
+    """`cut_repeats` of rows (_id, _text) with whole numbers as identifiers."""
     # Rows without an identifier are dealt by their text.
     dealt = F.xxhash64("_id", F.when(F.col("_id").isNull(), F.col("_text")))
     rows = rows.withColumn("_block", F.pmod(dealt, F.lit(blocks)).cast("int"))
@@ -441,7 +458,7 @@ def suffix_order(symbols: np.ndarray, bits: int, n: int, context: int) -> tuple[
 
     `symbols` has `context` more of them than n, each of `bits` bits. The first sort takes as many
     symbols as 64 bits hold; after that only suffixes that are still tied are sorted, by the number of
-    their tie and the next symbols in one key. Texts here have fewer than 2^24 symbols.
+    their tie and the next symbols in one key, or in two where the text is long.
     """
     symbols = symbols.astype(np.uint64)
 
@@ -453,6 +470,7 @@ def suffix_order(symbols: np.ndarray, bits: int, n: int, context: int) -> tuple[
         return key
 
     first, later = min(context, 64 // bits), 40 // bits
+    wide = n >= MOST_TIES
     key = keys(slice(0, n), first)
     order = np.argsort(key)
     key = key[order]
@@ -464,14 +482,18 @@ def suffix_order(symbols: np.ndarray, bits: int, n: int, context: int) -> tuple[
         at = at[tied]
         if not len(at):
             return order, new
-        group = np.cumsum(new[at], dtype=np.uint64) << np.uint64(40)
+        group = np.cumsum(new[at], dtype=np.uint64)
         last = done == context
         count = min(later, context - done)
-        key = group | (order[at].astype(np.uint64) if last else keys(order[at] + done, count))
-        again = np.argsort(key)
+        key = order[at].astype(np.uint64) if last else keys(order[at] + done, count)
+        if wide:
+            again = np.lexsort((key, group))
+        else:
+            key = group << np.uint64(40) | key
+            again = np.argsort(key)
         order[at] = order[at][again]
         if last:
             return order, new
         key = key[again]
-        new[at[1:]] |= key[1:] != key[:-1]
+        new[at[1:]] |= key[1:] != key[:-1]  # ties stay where they are, so a new one is marked already
         done += count

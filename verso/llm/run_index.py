@@ -110,7 +110,8 @@ def remove_repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col:
     A byte goes if a string of `window` bytes over it also starts in a document with a smaller
     identifier. Null counts as empty; texts shorter than the window stay whole; a null identifier is
     larger than any other, and rows with one identifier never cut each other. Repeated rows give
-    repeated results; an empty table gives none. Other columns are not read.
+    repeated results; an empty table gives none. Identifiers are of any type with an order. Other columns
+    are not read.
     """
     rule = Rule(window, RULE.gram, RULE.unit, RULE.spell, RULE.earlier, RULE.index)
     out = cut_repeats(df, rule, id_col, text_col, words=False, **options)
