@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from verso.functions import generators, values
+from verso.functions import distance, generators, values
 from verso.operators import fulltext, layout, letters, numerals, scoring
 
 
@@ -63,7 +63,7 @@ def test_unread_runs_and_duplicates(spark):
 
 
 def test_substitutions():
-    assert scoring._substitutions("abcd", "abxd") == [("c", "x")] and scoring._substitutions("abc", "ab") == [] and sorted(scoring._substitutions("kitten", "sitting")) == [("e", "i"), ("k", "s")]
+    assert distance.substitutions("abcd", "abxd") == [("c", "x")] and distance.substitutions("abc", "ab") == [] and sorted(distance.substitutions("kitten", "sitting")) == [("e", "i"), ("k", "s")]
 
 
 def test_synthetic_values_are_valid_and_repeatable(spark):

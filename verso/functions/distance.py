@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
+import math
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,55 @@ def word_edits(ref: Column, hyp: Column) -> Column:
     return F.element_at(F.transform(F.array(F.struct(left.alias("l"), right.alias("r"), vocabulary.alias("v"))), edits), 1)
 
 
+def _columns(gt: str, pred: str, state: tuple[int, int], marks: dict[str, int]) -> Iterator[tuple[int, int, int]]:
+    """Bit vectors of the edit table, one bit per character of `gt` and one column per character of `pred`.
+
+    Each column is (same, up, down): cells that cost as much as the one diagonally before them, one more than the
+    one above, and one less than it. `state` is (up, down) of the column before.
+    """
+    whole = (1 << len(gt)) - 1
+    up, down = state
+    for char in pred:
+        equal = marks.get(char, 0)
+        same = (((equal & up) + up) ^ up) | equal | down
+        right, left = (down | ~(same | up)) & whole, same & up
+        right = (right << 1 | 1) & whole
+        up, down = ((left << 1) | ~(same | right)) & whole, right & same & whole
+        yield same & whole, up, down
+
+
+def substitutions(gt: str, pred: str) -> list[tuple[str, str]]:
+    """Substituted character pairs of one shortest edit script; from the end, a match or substitution goes before a deletion, and that before an insertion.
+
+    Columns of the edit table are bits of whole numbers. Every so many columns one is kept and the ones behind it are
+    made again on the way back, so memory is the length of `gt` in bits times the square root of that of `pred`.
+    """
+    marks: dict[str, int] = {}
+    for i, char in enumerate(gt):
+        marks[char] = marks.get(char, 0) | 1 << i
+    step = max(1, math.isqrt(len(pred)))
+    kept = [((1 << len(gt)) - 1, 0)]
+    for j, (_, up, down) in enumerate(_columns(gt, pred, kept[0], marks), 1):
+        if j % step == 0:
+            kept.append((up, down))
+    i, j, out, block, first = len(gt), len(pred), [], [], len(pred) + 1
+    while i and j:
+        if j <= first:
+            first = (j - 1) // step * step
+            block = list(_columns(gt, pred[first:j], kept[first // step], marks))
+        same, up, _ = block[j - first - 1]
+        bit, a, b = 1 << (i - 1), gt[i - 1], pred[j - 1]
+        if a == b or not same & bit:
+            if a != b:
+                out.append((a, b))
+            i, j = i - 1, j - 1
+        elif up & bit:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
 def substring_edits(needle: str, hay: str) -> int:
     """Fewest edits between `needle` and any substring of `hay`."""
     if not needle or not hay:
@@ -68,17 +119,72 @@ def semiglobal(needle: pd.Series, hay: pd.Series) -> pd.Series:
     return pd.Series([substring_edits(n or "", h or "") for n, h in zip(needle, hay, strict=True)], dtype="int32")
 
 
+#: From this length of the second string on, characters that are more than one in a hundred (and one) begin no block; fixed values.
+LONG, COMMON_PART = 200, 100
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def longest_block(a: np.ndarray, b: np.ndarray, rare: np.ndarray) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest common block of `rare` places of b, widened by whatever is equal around it.
+
+    Of equally long ones the first in a, then in b, counts.
+    """
+    size, end_a, end_b = 0, 0, 0
+    run = np.zeros(len(b) + 1, dtype=np.int64)  # length of the common block that ends before each place of b
+    for i, char in enumerate(a):
+        run[1:] = np.where((b == char) & rare, run[:-1] + 1, 0)
+        most = int(run.max())
+        if most > size:
+            size, end_a, end_b = most, i + 1, int(run.argmax())
+    start_a, start_b = end_a - size, end_b - size
+    while start_a and start_b and a[start_a - 1] == b[start_b - 1]:
+        start_a, start_b = start_a - 1, start_b - 1
+    while end_a < len(a) and end_b < len(b) and a[end_a] == b[end_b]:
+        end_a, end_b = end_a + 1, end_b + 1
+    return start_a, start_b, end_a - start_a
+
+
+def matched(a: str, b: str) -> int:
+    """Characters in the common blocks of two strings: the longest one, then those to its left and right in turn."""
+    left, right = _codes(a), _codes(b)
+    rare = np.ones(len(right), dtype=bool)
+    if len(right) >= LONG:
+        chars, of, n = np.unique(right, return_inverse=True, return_counts=True)
+        rare = (n <= len(right) // COMMON_PART + 1)[of]
+    total, parts = 0, deque([(0, len(left), 0, len(right))])
+    while parts:
+        a0, a1, b0, b1 = parts.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        i, j, size = longest_block(left[a0:a1], right[b0:b1], rare[b0:b1])
+        if size:
+            total += size
+            parts += [(a0, a0 + i, b0, b0 + j), (a0 + i + size, a1, b0 + j + size, b1)]
+    return total
+
+
+def block_ratio(a: str, b: str) -> float:
+    """Twice the matched characters over all of both strings; two empty ones are equal."""
+    return 2 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two strings."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """Matching-blocks ratio of two strings; null counts as empty."""
+    return pd.Series([block_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(T.StringType())
 def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The longest string that both hold, the first of equals in `a`; null counts as empty."""
+
     def one(x: str, y: str) -> str:
-        found = difflib.SequenceMatcher(None, x, y, autojunk=False).find_longest_match()
-        return x[found.a : found.a + found.size]
+        codes = _codes(y)
+        at, _, size = longest_block(_codes(x), codes, np.ones(len(codes), dtype=bool))
+        return x[at : at + size]
 
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 

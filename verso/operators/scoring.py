@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verso.functions.distance import similarity, word_edits
+from verso.functions.distance import similarity, substitutions, word_edits
 from verso.functions.text import is_blank, tokens
 
 #: Fixed thresholds of the assignment and duplication passes.
@@ -261,34 +261,11 @@ def _over_subsets(rows: DataFrame) -> DataFrame:
     return matrix.select("doc", F.array_min(F.aggregate("m", start, fold)).alias("oracle_edits"))
 
 
-def _substitutions(gt: str, pred: str) -> list[tuple[str, str]]:
-    """Substituted character pairs of one shortest edit script; among equals a match or substitution goes first."""
-    m = len(pred)
-    rows = [list(range(m + 1))]
-    for i, a in enumerate(gt, 1):
-        last, row = rows[-1], [i]
-        for j, b in enumerate(pred, 1):
-            row.append(min(last[j - 1] + (a != b), last[j] + 1, row[j - 1] + 1))
-        rows.append(row)
-    i, j, out = len(gt), m, []
-    while i and j:
-        here = rows[i][j]
-        if here == rows[i - 1][j - 1] + (gt[i - 1] != pred[j - 1]):
-            if gt[i - 1] != pred[j - 1]:
-                out.append((gt[i - 1], pred[j - 1]))
-            i, j = i - 1, j - 1
-        elif here == rows[i - 1][j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return out
-
-
 def _pairs(batches):
     import pandas as pd
 
     for pdf in batches:
-        found = [p for a, b in zip(pdf["gt"], pdf["pred"], strict=True) for p in _substitutions(a, b)]
+        found = [p for a, b in zip(pdf["gt"], pdf["pred"], strict=True) for p in substitutions(a, b)]
         yield pd.DataFrame(found, columns=["gt_char", "pred_char"])
 
 

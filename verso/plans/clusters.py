@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verso.operators import clusters
+from verso.operators import clusters, geometry
 from verso.plans.catalogue import BOXES, boxes, query
 
 #: The words' boxes with a number on their page, uneven heights, lines that drift down, and small marks.
@@ -116,3 +116,24 @@ def c13_absorbed(spark, sf_dir):
         "page", "line", (F.col("box") + 5000).alias("box"), left.cast("int").alias("x0"), (left + 11 + F.col("box") % 5).cast("int").alias("x1"), top.cast("int").alias("y0"), (top + 9).cast("int").alias("y1")
     )
     return clusters.absorbed(g.unionByName(parts), ["page", "line"]).select("page", "line", "box", "whole")
+
+
+#: Corners of every page but each third, on the original, as the page's number moves them.
+QUAD = ("10 + page % 7", "20 + page % 5", "900 + page % 11", "31", "880", "1200 + page % 13", "5", "1190 - page % 3")
+
+
+@query(
+    f"""WITH {BOXES}, q AS (SELECT page, {", ".join(f"({v})::DOUBLE AS {n}" for n, v in zip(("a1", "a2", "b1", "b2", "c1", "c2", "d1", "d2"), QUAD, strict=True))} FROM (SELECT DISTINCT page FROM boxes) WHERE page % 3 <> 0),
+    p AS (SELECT *, ((a1 - b1 + c1 - d1) * (d2 - c2) - (d1 - c1) * (a2 - b2 + c2 - d2)) / ((b1 - c1) * (d2 - c2) - (d1 - c1) * (b2 - c2)) AS g,
+        ((b1 - c1) * (a2 - b2 + c2 - d2) - (a1 - b1 + c1 - d1) * (b2 - c2)) / ((b1 - c1) * (d2 - c2) - (d1 - c1) * (b2 - c2)) AS h FROM q),
+    corners AS (SELECT b.page, line, pos, x / 850.0 AS u, y / 1180.0 AS v, x, y FROM boxes b, unnest([x0, x1]) AS xs(x), unnest([y0, y1]) AS ys(y)),
+    moved AS (SELECT page, line, pos, CASE WHEN g IS NULL THEN x ELSE ((b1 - a1 + g * b1) * u + (d1 - a1 + h * d1) * v + a1) / (g * u + h * v + 1) END AS x,
+        CASE WHEN g IS NULL THEN y ELSE ((b2 - a2 + g * b2) * u + (d2 - a2 + h * d2) * v + a2) / (g * u + h * v + 1) END AS y FROM corners LEFT JOIN p USING (page))
+    SELECT page, line, pos, round(min(x), 3) AS x0, round(min(y), 3) AS y0, round(max(x), 3) AS x1, round(max(y), 3) AS y1 FROM moved GROUP BY page, line, pos"""
+)
+def prep_original_boxes(spark, sf_dir):
+    """Boxes of straightened sheets on the photographs that these were taken from."""
+    b = boxes(spark, sf_dir).select("page", "line", "pos", "x0", "y0", "x1", "y1")
+    pages = b.select("page").distinct().filter("page % 3 <> 0")
+    matrix = geometry.sheet_to_page(F.array(*(F.expr(v).cast("double") for v in QUAD)), F.lit(850.0), F.lit(1180.0))
+    return geometry.mapped(b, pages.select("page", matrix.alias("matrix")), "page", digits=3)

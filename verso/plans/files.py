@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verso.plans.catalogue import BOXES, boxes, query, table
+from verso.plans.catalogue import BOXES, WORDS, boxes, lower_words, query, table
 from verso.session import shared_folder
 from verso.sources import dumps, readers, sinks
 from verso.streaming import jobs
@@ -218,6 +218,16 @@ def io22_line_lists(spark, sf_dir):
     return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH ws AS ({WORDS.format("documents")}), lex AS ({WORDS.format("benchmark")}) SELECT word, lex.word IS NOT NULL AS known FROM ws LEFT JOIN lex USING (word)""")
+def io6_bucketed_lookup(spark, sf_dir):
+    """Words looked up in a dictionary that lies in buckets, so that only the words move."""
+    name = f"lexicon_{uuid.uuid4().hex}"
+    words = lower_words(table(spark, sf_dir, "benchmark")).withColumn("known", F.lit(True))
+    sinks.write_lexicon(words, name, place(spark, name), "word", buckets=16)
+    rows = lower_words(table(spark, sf_dir, "documents")).join(spark.table(name), "word", "left")
+    return rows.select("word", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 # ---- streams -----------------------------------------------------------------------------------
 
 EVENT = "job_id long, state string, ts timestamp"

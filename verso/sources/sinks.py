@@ -31,6 +31,16 @@ def write_dictionary(df: DataFrame, path: str, buckets: int = 64) -> None:
     ).partitionBy("bucket").parquet(path)
 
 
+def write_lexicon(df: DataFrame, name: str, path: str, word: str, buckets: int = 64) -> None:
+    """A dictionary as a table of its own, in buckets of its words and sorted inside them.
+
+    Joins on the word then read a bucket where the other side's rows for it are, without moving the dictionary, however
+    often it is used. `buckets` should give files of some 100 MB; the other side is dealt over as many partitions.
+    """
+    spread = df.repartition(buckets, word)
+    spread.write.mode("overwrite").bucketBy(buckets, word).sortBy(word).option("path", path).saveAsTable(name)
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
     """A report table of a small result; larger ones raise an error."""
     rows = df.limit(limit + 1).collect()
