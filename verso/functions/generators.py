@@ -49,15 +49,29 @@ def email(row: Column, seed: int = 31) -> Column:
     return F.concat(letters(seed, 4, 10), F.lit("@"), letters(seed + 2, 4, 12), F.lit("."), pick(row, seed + 4, ["ir", "com", "org", "net", "co.ir"]))
 
 
-def mixture(spark: SparkSession, n: int, seed: int = 5, weights: tuple[int, ...] = (3, 3, 2, 1), least: int = 6, most: int = 110) -> DataFrame:
-    """(row, kind, text): n values of a weighted mixture whose lengths are in bounds; rows out of bounds are drawn over."""
+#: Draws of a value of a length in bounds; the one value in some 10,000 that none of them gives is a date, which always fits.
+DRAWS = 8
+
+
+def synthetic_value(row: Column, seed: int = 5, weights: tuple[int, ...] = (3, 3, 2, 1), least: int = 6, most: int = 110) -> Column:
+    """A struct (kind, text) made from a row's number or other key: of a weighted mixture, with a length in bounds."""
     kinds = [("date", jalali_date), ("amount", amount), ("phone", phone), ("email", email)]
-    row, total = F.col("row"), sum(weights)
-    at = uniform(row, seed, 0, total - 1)
     edges = [sum(weights[: i + 1]) for i in range(len(weights))]
-    choose = lambda values: F.coalesce(*(F.when((at < e) & (at >= e - w), v) for (e, w, v) in zip(edges, weights, values, strict=True)))
-    rows = spark.range(n * 3).withColumnRenamed("id", "row").withColumns({"kind": choose([F.lit(k) for k, _ in kinds]), "text": choose([f(row, seed) for _, f in kinds])})
-    return rows.filter(F.length("text").between(least, most)).orderBy("row").limit(n)
+
+    def drawn(key: Column) -> Column:
+        at = uniform(key, seed, 0, edges[-1] - 1)
+        values = [F.struct(F.lit(k).alias("kind"), f(key, seed).alias("text")) for k, f in kinds]
+        return F.coalesce(*(F.when((at < e) & (at >= e - w), v) for e, w, v in zip(edges, weights, values, strict=True)))
+
+    tries = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda i: drawn(F.xxhash64(row, F.lit(seed), i)))
+    fits = F.filter(tries, lambda v: F.length(v["text"]).between(least, most))
+    return F.coalesce(F.get(fits, F.lit(0)), F.struct(F.lit("date").alias("kind"), jalali_date(row, seed).alias("text")))
+
+
+def mixture(spark: SparkSession, n: int, seed: int = 5, weights: tuple[int, ...] = (3, 3, 2, 1), least: int = 6, most: int = 110) -> DataFrame:
+    """(row, kind, text): exactly n values, each made from its row alone."""
+    rows = spark.range(n).withColumnRenamed("id", "row")
+    return rows.withColumn("_v", synthetic_value(F.col("row"), seed, weights, least, most)).select("row", "_v.kind", "_v.text")
 
 
 def kashida_positions(word: Column) -> Column:

@@ -1211,9 +1211,41 @@ def v8_letter_fields(spark, sf_dir):
 
 @query()
 def v10_synthetic_values(spark, sf_dir):
+    """A synthetic value for each turn, to stand for what may not be shown."""
     from verso.functions import generators
 
-    return generators.mixture(spark, 2000)
+    row = F.col("conv_id") * 1000 + F.col("turn")
+    return table(spark, sf_dir, "conversations").select(row.alias("row"), generators.synthetic_value(row).alias("_v")).select("row", "_v.kind", "_v.text")
+
+
+#: Numbers as a second reader has them, by the place of their word: alike, other digits, in two parts far apart, unsure, in two
+#: parts close together, an amount with a group too short, a single digit.
+READS = "(line * 3 + pos // 2) % 7"
+
+
+@query(
+    f"""WITH {NUMBERS}, kinds AS (SELECT *, {READS} AS kind, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM numbers WHERE regexp_matches(text, '[0-9]'))
+        SELECT page, regexp_extract(text, '^[^0-9]*') || CASE kind WHEN 0 THEN digits ELSE translate(digits, '0123456789', '1234567890') END || regexp_extract(text, '[^0-9]*$') AS text, x0::INT AS x0
+        FROM kinds WHERE kind IN (0, 1, 4) AND pos % 2 = 0"""
+)
+def j8_second_reader(spark, sf_dir):
+    """A second reader that differs, stands apart, is unsure, breaks amounts or misses digits: only what it is sure of replaces a number."""
+    from verso.operators import numerals
+
+    words = number_boxes(spark, sf_dir).withColumn("kind", (F.col("line") * 3 + F.floor(F.col("pos") / 2)) % 7)
+    words = words.withColumn("text", F.when((F.col("kind") == 5) & (F.col("pos") % 2 == 0), "1,234,567").otherwise(F.col("text")))
+    digits, kind = values.digits_only(F.col("text")), F.col("kind")
+    other = F.translate(digits, "0123456789", "1234567890")
+    half, middle = F.floor(F.length(digits) / 2).cast("int"), F.floor((F.col("x0") + F.col("x1")) / 2)
+    read = lambda t, x0, x1: F.struct(t.alias("text"), x0.cast("int").alias("x0"), x1.cast("int").alias("x1"))
+    parts = lambda t, gap: F.array(read(F.left(t, half), F.col("x0"), middle - gap), read(F.substring(t, half + 1, F.length(t)), middle + gap, F.col("x1")))
+    whole = lambda t: F.array(read(t, F.col("x0"), F.col("x1")))
+    broken, single = whole(F.lit("1,234,56")), whole(F.left(digits, F.lit(1)))
+    reads = F.when(kind == 0, whole(digits)).when(kind == 2, parts(digits, 2)).when(kind == 4, parts(other, 1)).when(kind == 5, broken).when(kind == 6, single).otherwise(whole(other))
+    seen = words.filter((digits != "") & (F.col("pos") % 2 == 0)).select("page", F.when(kind == 3, 0.3).otherwise(0.9).alias("prob"), "y0", "y1", F.explode(reads).alias("_r"))
+    seen = seen.select("page", "_r.text", "prob", F.lit(10.0).alias("line_h"), F.length(values.digits_only(F.col("_r.text"))).alias("n_digits"), "_r.x0", "y0", "_r.x1", "y1")
+    words = words.select("page", "text", "conf", "x0", "y0", "x1", "y1")
+    return numerals.replace_numbers(words, seen, "page", 0.5).filter("digit_prob is not null").select("page", "text", "x0")
 
 
 @query()

@@ -54,6 +54,14 @@ def io4_line_corpus(spark, sf_dir):
     return readers.read_line_corpus(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang"])
 
 
+@query("SELECT least(count(*), 100) AS n, least(count(*), 100) AS known FROM documents")
+def s6_first_rows(spark, sf_dir):
+    """A corpus cut to its first so many rows, whichever come first."""
+    rows = readers.read_line_corpus(spark, f"{sf_dir}/documents.parquet", ["doc_id"], limit=100)
+    known = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("_k"))
+    return rows.join(known, "doc_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("_k").alias("known"))
+
+
 @query("SELECT conv_id * 1000 + turn AS id, role AS word, sha256(text) AS digest FROM conversations")
 def io5_sql_dump(spark, sf_dir):
     path = place(spark, "dump")
