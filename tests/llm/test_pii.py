@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from hashlib import sha256
 
 from tests.llm.fixtures import empty, rows, table
@@ -127,3 +128,23 @@ def test_sanitise(spark):
     texts = [r["text"] for r in out.filter("doc_id < 4 and text like '%EMAIL%'").collect()]
     assert texts and all("secret" not in t and "zanzibar" not in t and "<TERM>" in t for t in texts)
     assert pii.find(empty(spark)).count() == 0 and pii.sanitise(empty(spark)).count() == 0
+
+
+def test_a_list_of_very_many_names_and_addresses(spark):
+    """Each rare term of a row once met each of its entities: 16 million pairs here."""
+    n = 4000
+    name = lambda i: "n" + "".join(chr(97 + int(d)) for d in str(i))
+    body = " ".join(f"{name(i)} {name(i)}@x{i}.org" for i in range(n))
+    data = [(1, body, "en", "s", 1), (2, body + " end", "en", "s", 1)] + [(10 + i, f"other text number {i}", "en", "s", 1) for i in range(30)]
+    began = time.time()
+    found = {r["doc_id"]: r for r in pii.find(table(spark, data)).collect()}
+    assert time.time() - began < 60
+    # Every name stands in both texts and nowhere else, as every address does; inside addresses the base span stays alone.
+    assert found[1]["n_email"] == n and found[1]["n_base"] == n and found[1]["n_term"] == n
+    assert found[10]["n_term"] == 0
+
+
+def test_classes_are_those_of_equal_rows(spark):
+    rows = [("a", 1, 5), ("b", 1, 5), ("c", 1, 5), ("a", 2, 5), ("b", 2, 5), ("c", 3, 5), ("d", 1, 6), ("d", 2, 6)]
+    df = spark.createDataFrame(rows, "name string, _key long, n long")
+    assert {r["name"]: r["_first"] for r in pii._classes(df, "name", "n").collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}

@@ -118,6 +118,15 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.lower(t)))
 
 
+def _classes(rows: DataFrame, name: str, count: str) -> DataFrame:
+    """(name, _first) of every name: the first of those with the same count and the same rows, as two sums of hashes of
+    their keys, their least and their greatest key tell."""
+    sums = [F.sum(F.xxhash64("_key", F.lit(i)).cast("decimal(38,0)")).alias(f"_s{i}") for i in (0, 1)]
+    same = rows.groupBy(name, count).agg(F.count(F.lit(1)).alias("_c"), F.min("_key").alias("_a"), F.max("_key").alias("_z"), *sums)
+    first = same.groupBy(count, "_c", "_a", "_z", "_s0", "_s1").agg(F.min(name).alias("_first"))
+    return same.join(first, [count, "_c", "_a", "_z", "_s0", "_s1"]).select(name, "_first")
+
+
 def find(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -156,14 +165,21 @@ def find(
     occurs = rows.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     vocabulary = staged(occurs.filter((F.col("n_t") >= support) & (F.col("n_t") <= limit(F.lit(most)))), "vocabulary")
 
+    # Entities that stand in the same rows are one class, terms likewise: one of each class is paired for all, so a list
+    # of many names and addresses is not all pairs of them.
     holders = staged(each.select("_key", "entity").distinct().join(entities, "entity"), "holders")
-    found_in = holding.select("_key", "_seen", F.explode(_terms(F.col("_text"))).alias("term")).join(vocabulary, "term")
+    holders = holders.join(_classes(holders, "entity", "n_e").filter("entity = _first").select("entity"), "entity", "left_semi")
+    terms = holding.select("_key", "_seen", F.explode(_terms(F.col("_text"))).alias("term")).join(vocabulary, "term")
+    terms = staged(terms, "terms")
+    alike = staged(_classes(terms, "term", "n_t"), "classes")
+    found_in = terms.join(alike.filter("term = _first").select("term"), "term", "left_semi")
     pairs = found_in.join(holders, "_key").filter(F.col("n_t") <= limit(F.col("n_e")))
     pairs = pairs.groupBy("entity", "term", "n_t", "n_e", "_seen").agg(F.count(F.lit(1)).alias("rows"))
     pairs = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.sum("rows").alias("n_te"), F.count(F.lit(1)).alias("texts"))
     pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
-    telling = pairs.filter((F.col("texts") >= support) & (pmi >= threshold * ic)).select("term").distinct()
+    telling = pairs.filter((F.col("texts") >= support) & (pmi >= threshold * ic)).select(F.col("term").alias("_first")).distinct()
+    telling = alike.join(telling, "_first").select("term")
     telling = staged(telling.repartition(FILES), "telling")
 
     # Telling terms in all rows, as they are written there.
