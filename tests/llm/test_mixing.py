@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 from collections import defaultdict
 
@@ -69,3 +71,30 @@ def test_edges(spark):
     taken = sum(r["taken"] for r in M.mix(df).collect())
     given = sum(len(WORD.findall(r["text"] or "")) for r in out.collect())
     assert taken == given
+
+
+def test_flow_is_the_cheapest_of_all(spark):
+    """Small overlapping instances against every possible flow: as much as can be sent, then at the least cost."""
+    rng = random.Random(11)
+    for _ in range(150):
+        n, m, repeats = rng.randint(1, 3), rng.randint(1, 3), rng.randint(1, 3)
+        capacity = [rng.randint(0, 3) for _ in range(n)]
+        members = [sorted(rng.sample(range(m), rng.randint(1, min(2, m)))) for _ in range(n)]
+        quota = [rng.randint(0, 5) for _ in range(m)]
+        arcs = [(p, s) for p, ms in enumerate(members) for s in ms]
+
+        def cost(sent, capacity=capacity):
+            return sum(sum(k // max(1, capacity[p]) for k in range(words)) for p, words in enumerate(sent))
+
+        best = None
+        for amounts in itertools.product(*(range(min(quota[s], repeats * capacity[p]) + 1) for p, s in arcs)):
+            sent, got = [0] * n, [0] * m
+            for (p, s), x in zip(arcs, amounts, strict=True):
+                sent[p], got[s] = sent[p] + x, got[s] + x
+            if all(a <= repeats * c for a, c in zip(sent, capacity, strict=True)) and all(a <= q for a, q in zip(got, quota, strict=True)):
+                best = max(best or (-1, 0), (sum(sent), -cost(sent)))
+        flow = M.flows_of(capacity, members, quota, repeats)
+        sent = [sum(w for _, w in f) for f in flow]
+        got = [sum(w for f in flow for t, w in f if t == s) for s in range(m)]
+        assert all(a <= repeats * c for a, c in zip(sent, capacity, strict=True)) and all(a <= q for a, q in zip(got, quota, strict=True))
+        assert (sum(sent), -cost(sent)) == best, (capacity, members, quota, repeats)
