@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cores where a table lies in fewer pieces than there are cores; larger tables stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def plain(t: Column) -> Column:
     """Lower-case ASCII with one blank between words: both engines agree on it to the byte."""
     t = F.regexp_replace(F.coalesce(t, F.lit("")), r"[^\x00-\x7F]", "?")
@@ -118,7 +124,7 @@ WS = "' \\t\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{202f}\\x{205f}\\x{3000}'"
 )
 def f1_normalize(spark, sf_dir):
     n = text.normalize(F.col("text"), text.LATIN)
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).select("doc_id", F.length("n").cast("long").alias("n_chars"), F.sha2("n", 256).alias("digest"))
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", n.alias("n")).select("doc_id", F.length("n").cast("long").alias("n_chars"), F.sha2("n", 256).alias("digest"))
 
 
 RULE_SQL = {
@@ -138,7 +144,7 @@ RULE_SQL = {
 def f1_rule_ablation(spark, sf_dir):
     known = F.coalesce("text", F.lit(""))
     each = F.array(*(F.struct(F.lit(k).alias("rule"), text.normalize(F.col("text"), text.Rules.only(k)).alias("t")) for k in RULE_SQL))
-    rows = table(spark, sf_dir, "documents").select(known.alias("known"), F.explode(each).alias("r"))
+    rows = dealt(table(spark, sf_dir, "documents")).select(known.alias("known"), F.explode(each).alias("r"))
     return rows.groupBy("r.rule").agg(
         F.count_if(F.col("r.t") != F.col("known")).alias("docs_changed"), F.sum(F.length("known") - F.length("r.t")).alias("chars_lost")
     )
@@ -149,7 +155,7 @@ LATIN_CENSUS = {"digits": "[0-9]", "accented": "[À-ÿ]", "upper": "[A-Z]", "bla
 
 @query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{c}')) AS {k}" for k, c in LATIN_CENSUS.items()) + " FROM documents")
 def a17_char_census(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in text.census(F.col("text"), LATIN_CENSUS).items()))
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", *(c.alias(k) for k, c in text.census(F.col("text"), LATIN_CENSUS).items()))
 
 
 @query(
@@ -173,7 +179,7 @@ def a16_letterform(spark, sf_dir):
 )
 def pf5_legibility(spark, sf_dir):
     v = text.legibility(F.col("text"), script="[a-z]")
-    return table(spark, sf_dir, "documents").select("doc_id", v["chars"].alias("chars"), v["latin_words"].alias("latin_words"), F.bround(v["share"], 6).alias("share"), v["legible"].alias("legible"))
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", v["chars"].alias("chars"), v["latin_words"].alias("latin_words"), F.bround(v["share"], 6).alias("share"), v["legible"].alias("legible"))
 
 
 @query(
@@ -249,7 +255,7 @@ GROUPED = """CASE WHEN NOT regexp_matches(t, '^\\d{1,3}((,\\d+)+|(\\.\\d+)+|(/\\
        SELECT grouping, count(*) AS n FROM (SELECT {GROUPED} AS grouping FROM (SELECT t, regexp_split_to_array(t, '[,./]')[2:] AS rest FROM tokens)) GROUP BY grouping"""
 )
 def pf12_amount_grouping(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select(F.explode(values.number_tokens(F.col("text"))).alias("t"))
+    tokens = dealt(table(spark, sf_dir, "documents")).select(F.explode(values.number_tokens(F.col("text"))).alias("t"))
     prices = table(spark, sf_dir, "lineitem").select(F.format_number(F.bround(F.col("l_extendedprice") * 100, 0), 0).alias("t"))
     rows = tokens.unionByName(prices).select(values.amount_grouping(F.col("t")).alias("grouping"))
     return rows.groupBy("grouping").agg(F.count(F.lit(1)).alias("n"))
