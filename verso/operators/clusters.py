@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verso.operators.graph import connected_components
+from verso.session import written
 
 #: A box begins a line from this part of the page's text height on, and from this height on; fixed by the blueprint.
 SEED, LEAST_SEED = 0.62, 6.0
@@ -99,8 +100,12 @@ def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _in_runs(rows: DataFrame, keys: list[str], order: list, run, schema: str) -> DataFrame:
-    """`rows` dealt by the keys and sorted by them and `order`, as a stream through `run`."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    """`rows` dealt by the keys and sorted by them and `order`, as a stream through `run`.
+
+    Dealt by number, as the work of a row is in Python and far more than its bytes tell.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def _schema(rows: DataFrame, more: dict[str, str]) -> str:
@@ -212,8 +217,8 @@ def text_lines(boxes: DataFrame, page: str = "page") -> DataFrame:
     swallowed a neighbour, as lines drift over a page; it is taken apart into groups of neighbours, each named
     by its least box. `boxes` has the page, box (a number of its own on the page) and the four edges, none null.
     """
-    tall = line_bands(boxes, page)
-    rows = _with_marks(boxes, tall, page)
+    tall = written(line_bands(boxes, page), "bands")
+    rows = written(_with_marks(boxes, tall, page), "lines")
     sizes = rows.groupBy(page, "band").agg(F.count(F.lit(1)).alias("_n"))
     shape = tall.groupBy(page, "band").agg(F.first("text_h").alias("_text"), F.first("low").alias("_low"), F.first("top").alias("_top"))
     swollen = sizes.join(shape, [page, "band"]).filter((F.col("_low") - F.col("_top") > SWOLLEN * F.col("_text")) & (F.col("_n") >= SEVERAL)).select(page, "band")
