@@ -61,21 +61,43 @@ def test_edges(spark):
     assert {(r["_key"], r["_id"], r["kept"]) for r in kept.collect()} == {("key", "i", "k")}
 
 
-def estimated_distances(x, steps=3):
-    """The robust distances with numpy: half of the rows in each step, quantiles that are values of the sample."""
+def estimated_distances(x, group, prior=20):
+    """The robust distances with numpy, group by group: nearest halves by bins of distance, drawn toward those of all rows."""
     quantile = lambda v, q: np.quantile(v, q, axis=0, method="inverted_cdf")
-
-    def distances(centre, scatter):
-        z = np.linalg.solve(np.linalg.cholesky(scatter + np.diag(np.square(Q.FLOORS))), (x - centre).T)
-        return (z * z).sum(0)
-
-    low, centre, high = (quantile(x, q) for q in (0.25, 0.5, 0.75))
-    scatter = np.diag(((high - low) / 1.349) ** 2)
-    for _ in range(steps):
-        d = distances(centre, scatter)
-        near = x[d <= quantile(d, 0.5)]
-        centre, scatter = near.mean(0), np.cov(near.T, bias=True)
-    return distances(centre, scatter)
+    distances = lambda v, m, c: (np.square(np.linalg.solve(np.linalg.cholesky(c + np.diag(np.square(Q.FLOORS))), (v - m).T))).sum(0)
+    volume = lambda c: np.linalg.slogdet(c + np.diag(np.square(Q.FLOORS)))[1]
+
+    def start(v):
+        low, centre, high = (quantile(v, q) for q in (0.25, 0.5, 0.75))
+        return len(v), centre, np.diag(((high - low) / 1.349) ** 2)
+
+    def nearest(v, m, c):
+        bins = np.floor(np.log(np.maximum(distances(v, m, c), 1e-6)) / Q.FINE)
+        near = v[bins <= np.sort(bins)[(len(v) + 1) // 2 - 1]]
+        return len(near), near.mean(0), np.cov(near.T, bias=True).reshape(4, 4) * Q.consistency(0.5)
+
+    def settle(parts, drawn):
+        now = [drawn(*start(v)) for v in parts]
+        for _ in range(Q.MOST_STEPS):
+            after = [drawn(*nearest(v, *e)) for v, e in zip(parts, now, strict=True)]
+            moved = max(abs(volume(a[1]) - volume(e[1])) for a, e in zip(after, now, strict=True))
+            now = after
+            if moved < Q.SETTLED:
+                break
+        return now
+
+    ((m0, c0),) = settle([x], lambda n, m, c: (m, c))
+    names = np.unique(group)
+    found = settle([x[group == g] for g in names], lambda n, m, c: ((n * m + prior * m0) / (n + prior), (n * c + prior * c0) / (n + prior)))
+    out = np.empty(len(x))
+    for g, e in zip(names, found, strict=True):
+        out[group == g] = distances(x[group == g], *e)
+    return out
+
+
+def features(found):
+    n, chars, symbols, dup, rep = np.array([[r[k] for k in Q.STATS] for r in found], float).T
+    return np.stack([np.log1p(n), np.log(chars / n), np.log(symbols / chars + 0.01), np.log((rep + dup) / n + 0.05)], 1)
 
 
 def test_group_that_is_40_percent_poor(spark):
@@ -83,15 +105,40 @@ def test_group_that_is_40_percent_poor(spark):
     word = lambda letters, n: "".join(rng.choice(list(letters), n))
     sound = [(i, " ".join(word("abcdefghijklmnop", 6) for _ in range(int(rng.integers(80, 300)))), "en", "s", 1) for i in range(180)]
     poor = [(1000 + i, " ".join(word("abcdefgh", 4) + "###$$$" for _ in range(int(rng.integers(80, 300)))), "en", "s", 1) for i in range(120)]
-    for name in ("s", "few"):  # "few": groups too small for an estimate of their own
-        data = [(*r[:3], name if name == "s" else f"few{r[0] % 1000 % 30}", r[4]) for r in sound + poor]
+    sources = {
+        "one": lambda i: "s",
+        "small": lambda i: f"few{i % 1000 % 30}",  # groups of ten rows
+        "mixed": lambda i: "big" if i % 1000 % 3 else f"few{i % 1000 % 39}",  # of 200, and of seven or eight
+    }
+    for source in sources.values():
+        data = [(*r[:3], source(r[0]), r[4]) for r in sound + poor]
         found = sorted(Q.judged(table(spark, data)).collect())
-        n, chars, symbols, dup, rep = np.array([[r[k] for k in Q.STATS] for r in found], float).T
-        x = np.stack([np.log1p(n), np.log(chars / n), np.log(symbols / chars + 0.01), np.log((rep + dup) / n + 0.05)], 1)
-        assert np.allclose([r["distance2"] for r in found], estimated_distances(x), rtol=1e-5, atol=1e-5)
+        group = np.array([source(r["doc_id"]) for r in found])
+        assert np.allclose([r["distance2"] for r in found], estimated_distances(features(found), group), rtol=1e-5, atol=1e-5)
         assert [r["kept"] for r in found] == [r["doc_id"] < 1000 for r in found]
 
 
+def test_groups_of_any_size_have_an_estimate(spark):
+    # One row, two rows and more beside a large group: no size at which the estimate changes its kind.
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9))))
+    data, sizes = [], {"a": 1, "b": 2, "c": 39, "d": 40, "e": 41, "f": 150}
+    for name, n in sizes.items():
+        data += [(len(data) + i, " ".join(word() for _ in range(int(rng.integers(60, 200)))), "en", name, 1) for i in range(n)]
+    found = sorted(Q.judged(table(spark, data)).collect())
+    group = np.array([r[3] for r in sorted(data)])
+    assert np.allclose([r["distance2"] for r in found], estimated_distances(features(found), group), rtol=1e-5, atol=1e-5)
+    assert all(r["kept"] for r in found)
+
+
+def test_scatter_of_the_half_stands_for_that_of_all():
+    x = np.random.default_rng(6).standard_normal((400_000, len(Q.FEATURES)))
+    d = (x * x).sum(1)
+    for half in (0.5, 0.75):
+        near = x[d <= np.quantile(d, half)]
+        assert np.allclose(near.var(0) * Q.consistency(half), 1, atol=0.02)
+
+
 def test_cut_is_the_first_gap_beyond_the_normal_quantile():
     bins = lambda *values: {int(np.log(v) / Q.WIDTH): n for v, n in values}
     at = lambda k: np.exp((k + 0.5) * Q.WIDTH)

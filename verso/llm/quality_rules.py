@@ -2,8 +2,9 @@
 
 Statistics are array expressions inside each row. Per language and source a minimum covariance
 determinant estimate (deterministic start from medians, then concentration steps on the half of the
-rows with the smallest distances) gives centre and scatter of the transformed statistics; documents
-beyond a Mahalanobis cut are rejected. Sound texts have long tails, so the cut is no normal quantile: it
+rows with the smallest distances, until the determinant settles) gives centre and scatter of the
+transformed statistics, made consistent for normal samples and drawn toward those of all rows by the
+group's size; documents beyond a Mahalanobis cut are rejected. Sound texts have long tails, so the cut is no normal quantile: it
 is the first gap of the distances beyond that quantile, which parts the tail from the outliers. All
 passes are grouped aggregates with map-side combine.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verso.llm.common import BLANK, as_given, let, numbered, staged, without, words
@@ -33,6 +34,10 @@ FILES = 8
 NORMAL = 18.467
 #: Width of the bins of the logarithm of squared distances, and bins on either side that a density is taken over.
 WIDTH, REACH = 0.1, 2
+#: Width of the bins by which concentration steps find the nearest half.
+FINE = 0.02
+#: Concentration ends when no logarithm of a determinant changes by more, or after so many steps.
+SETTLED, MOST_STEPS = 0.01, 12
 
 
 def first_gap(counts: dict[int, int]) -> float:
@@ -40,7 +45,7 @@ def first_gap(counts: dict[int, int]) -> float:
 
     `counts` has the number of rows of each bin of the logarithm. A gap is the place with the fewest rows
     so far when more than twice as many stand around a later one, by five at least and by more than chance
-    (two standard deviations). Without one there are no outliers, and the cut is infinite.
+    (two standard deviations); the cut is at its emptiest bin. Without one there are no outliers, and the cut is infinite.
     """
     first, last = int(math.log(NORMAL) / WIDTH) + 1, max(counts, default=0) + REACH
     around = lambda i: sum(counts.get(i + k, 0) for k in range(-REACH, REACH + 1))
@@ -48,7 +53,9 @@ def first_gap(counts: dict[int, int]) -> float:
     for i in range(first, last + 1):
         here = around(i)
         if here - 2 * least >= max(5.0, 2 * math.sqrt(here)):
-            return math.exp((where[len(where) // 2] + 0.5) * WIDTH)
+            middle = where[len(where) // 2]
+            emptiest = min(range(max(first, middle - REACH), middle + REACH + 1), key=lambda k: (counts.get(k, 0), abs(k - middle)))
+            return math.exp((emptiest + 0.5) * WIDTH)
         if here < least:
             least, where = here, [i]
         elif here == least:
@@ -154,6 +161,24 @@ def _features() -> dict[str, Column]:
     return dict(zip(FEATURES, (v.cast("double") for v in values), strict=True))
 
 
+def consistency(half: float) -> float:
+    """Factor from the scatter of the nearest share `half` of a normal sample to that of the whole sample.
+
+    It is half / P(chi2 with p + 2 degrees <= the `half` quantile of chi2 with p degrees); for an even p both
+    distributions are finite sums.
+    """
+    p = len(FEATURES)
+
+    def below(x: float, degrees: int) -> float:
+        return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if below(x, p) < half else (low, x)
+    return half / below(low, p + 2)
+
+
 def _factors(estimates: DataFrame, keys: list[str]) -> DataFrame:
     """Centre and inverse Cholesky entries of every group, so that the per-row work is a few products."""
     p = len(FEATURES)
@@ -164,7 +189,7 @@ def _factors(estimates: DataFrame, keys: list[str]) -> DataFrame:
             rest = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), cov[i, j])
             at = at.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
             low[i, j] = F.col(f"l_{i}_{j}")
-    return at.select(*keys, "n_group", *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i, j in low))
+    return at.select(*keys, *(f"m_{i}" for i in range(p)), *(f"c_{i}_{j}" for i, j in low), *(f"l_{i}_{j}" for i, j in low))
 
 
 def _distance_from_factors() -> Column:
@@ -175,64 +200,98 @@ def _distance_from_factors() -> Column:
     return reduce(lambda a, b: a + b, (v * v for v in z))
 
 
-def _moments(half: DataFrame, keys: list[str]) -> DataFrame:
+def _start(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Medians and, from the quartiles, variances of every group, by mergeable sketches."""
     p = len(FEATURES)
-    return half.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_group"),
-        *(F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)),
-        *(F.coalesce(F.covar_pop(FEATURES[i], FEATURES[j]), F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)),
+    sketch = (F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, f in enumerate(FEATURES))
+    spread = lambda i: ((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349) ** 2
+    return stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_half"), *sketch).select(
+        *keys,
+        "n_half",
+        *(F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)),
+        *((spread(i) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)),
     )
 
 
-def _start(quantiles: list[Column], keys: list[str], frame: DataFrame) -> DataFrame:
+def _nearest(near: DataFrame, keys: list[str], half: float) -> DataFrame:
+    """Moments of the nearest share `half` of every group's rows, in one pass; `near` has the present factors.
+
+    Rows are summed by bins of the logarithm of their distance, and the bins up to the one that reaches the
+    share are added up. Sums are taken around the present centre, so that few digits cancel.
+    """
     p = len(FEATURES)
-    return frame.select(
-        *keys,
-        "n_group",
-        *(q[1].alias(f"m_{i}") for i, q in enumerate(quantiles)),
-        *(
-            (((quantiles[i][2] - quantiles[i][0]) / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}")
-            for i in range(p)
-            for j in range(i + 1)
-        ),
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    off = [F.col(f) - F.col(f"m_{i}") for i, f in enumerate(FEATURES)]
+    bins = F.floor(F.log(F.greatest(_distance_from_factors(), F.lit(1e-6))) / FINE).alias("_bin")
+    sums = near.groupBy(*keys, bins).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)),
+        *(F.sum(off[i]).alias(f"s_{i}") for i in range(p)),
+        *(F.sum(off[i] * off[j]).alias(f"s_{i}_{j}") for i, j in pairs),
+    )
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy("_bin"))
+    chosen = sums.withColumn("_all", F.sum("_n").over(group)).withColumn("_before", upto - F.col("_n")).filter(F.col("_before") < F.col("_all") * half)
+    total = lambda c: F.sum(c) / F.sum("_n")
+    factor = consistency(half)
+    return chosen.groupBy(*keys).agg(
+        F.sum("_n").alias("n_half"),
+        *((F.first(f"m_{i}") + total(f"s_{i}")).alias(f"m_{i}") for i in range(p)),
+        *(((total(f"s_{i}_{j}") - total(f"s_{i}") * total(f"s_{j}")) * factor).alias(f"c_{i}_{j}") for i, j in pairs),
     )
 
 
-def mcd_estimates(stats: DataFrame, keys: list[str], least: int, steps: int = 3, half: float = 0.5) -> DataFrame:
-    """One row per group of at least `least` rows: centre m_i and Cholesky factor l_i_j of its concentrated part.
+def _shrunk(moments: DataFrame, common: dict[str, Column], prior: float) -> DataFrame:
+    """Moments of groups drawn toward the common ones, which count as `prior` rows."""
+    own = lambda c: (F.col("n_half") * F.col(c) + prior * common[c]) / (F.col("n_half") + prior)
+    return moments.withColumns({c: own(c) for c in moments.columns if c in common})
 
-    The start is the diagonal estimate from medians and quartiles; each step keeps, per group, the
-    share `half` of rows with the smallest distances and estimates again. Quantiles come from
-    mergeable sketches, so that no group is gathered anywhere. Estimates are written tables, whose
-    known size lets Spark broadcast them while they are small and join by shuffle beyond that.
-    """
-    sketch = (F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, f in enumerate(FEATURES))
-    quartiles = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_group"), *sketch).filter(F.col("n_group") >= least)
-    start = _start([F.col(f"q_{i}") for i in range(len(FEATURES))], keys, quartiles)
-    factors = staged(_factors(start, keys).repartition(FILES), "mcd-0")
-    for step in range(1, steps + 1):
-        near = stats.join(factors, keys).withColumn("_d2", _distance_from_factors())
-        cut = staged(near.groupBy(*keys).agg(F.percentile_approx("_d2", half, 1000).alias("_cut")).repartition(FILES), f"cut-{step}")
-        chosen = near.join(cut, keys).filter(F.col("_d2") <= F.col("_cut"))
-        factors = staged(_factors(_moments(chosen.select(*keys, *FEATURES), keys), keys).repartition(FILES), f"mcd-{step}")
-    return factors
 
+def _volume() -> Column:
+    """Logarithm of the determinant of the scatter."""
+    return reduce(lambda a, b: a + b, (2 * F.log(f"l_{i}_{i}") for i in range(len(FEATURES))))
 
-def mcd_common(stats: DataFrame, steps: int = 3, half: float = 0.5) -> dict[str, Column]:
-    """The same estimate over all rows, as literals; nulls for an empty table."""
 
-    def literals(frame: DataFrame) -> dict[str, Column]:
-        row = _factors(frame, []).first()
-        return {k: F.lit(v).cast("double") for k, v in row.asDict().items() if k != "n_group"}
+def mcd_common(stats: DataFrame, half: float = 0.5) -> dict[str, Column]:
+    """Centre m_i, scatter c_i_j and factor l_i_j of the concentrated part of all rows, as literals; nulls for an empty table."""
 
-    sketch = (F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, f in enumerate(FEATURES))
-    quartiles = stats.agg(F.count(F.lit(1)).alias("n_group"), *sketch)
-    found = literals(_start([F.col(f"q_{i}") for i in range(len(FEATURES))], [], quartiles))
-    for _ in range(steps):
-        near = stats.withColumns(found).withColumn("_d2", _distance_from_factors())
-        cut = near.agg(F.percentile_approx("_d2", half, 1000)).first()[0]
-        found = literals(_moments(near.filter(F.col("_d2") <= F.lit(cut)).select(*FEATURES), []))
-    return found
+    def found(frame: DataFrame) -> tuple[dict[str, Column], float]:
+        row = _factors(frame, []).withColumn("_volume", _volume()).first().asDict()
+        volume = row.pop("_volume")
+        return {k: F.lit(v).cast("double") for k, v in row.items()}, volume
+
+    common, volume = found(_start(stats, []))
+    for _ in range(MOST_STEPS):
+        before = volume
+        common, volume = found(_nearest(stats.withColumns(common), [], half))
+        if abs(volume - before) < SETTLED:
+            break
+    return common
+
+
+def mcd_estimates(stats: DataFrame, keys: list[str], common: dict[str, Column], prior: float, half: float = 0.5) -> DataFrame:
+    """One row per group: centre m_i and Cholesky factor l_i_j of its concentrated part, drawn toward `common`.
+
+    The start is the diagonal estimate from medians and quartiles. Each step keeps, per group, the share
+    `half` of rows with the smallest distances and estimates again, until no group's determinant changes.
+    A group's moments are averaged with those of all rows, which count as `prior` rows, so that a group of
+    any size has an estimate and the change from few to many rows is smooth. No group is gathered anywhere.
+    Estimates are written tables, whose known size lets Spark broadcast them while they are small and join
+    by shuffle beyond that.
+    """
+
+    def written(moments: DataFrame, name: str) -> DataFrame:
+        return staged(_factors(_shrunk(moments, common, prior), keys).withColumn("_volume", _volume()).repartition(FILES), name)
+
+    factors = written(_start(stats, keys), "mcd-0")
+    for step in range(1, MOST_STEPS + 1):
+        after = written(_nearest(stats.join(factors.drop("_volume"), keys), keys, half), f"mcd-{step}")
+        change = F.max(F.abs(F.col("_volume") - F.col("_was")))
+        moved = after.join(factors.select(*keys, F.col("_volume").alias("_was")), keys).agg(change).first()[0]
+        factors = after
+        if (moved or 0.0) < SETTLED:
+            break
+    return factors.drop("_volume", *(c for c in factors.columns if c.startswith("c_")))
 
 
 def judged(
@@ -241,14 +300,14 @@ def judged(
     group_cols: tuple[str, ...] = ("lang", "source"),
     carry: tuple[str, ...] = ("doc_id",),
     cut: float | None = None,
-    least: int = 40,
+    prior: float = 20.0,
 ) -> DataFrame:
     """Statistics and verdict of every row: carry columns, the five statistics, base_failed, kept, distance2.
 
     A row is kept if the base rules pass and its squared distance is at most `cut`, by default the
     first gap of all rows' distances beyond the normal quantile. The estimate is
-    fitted on the rows that pass the base rules; groups with fewer than `least` of them use that of
-    all rows. Null languages and sources form groups of their own. Null and empty texts have no
+    fitted on the rows that pass the base rules; a group's is averaged with that of all rows, which
+    counts as `prior` rows. Null languages and sources form groups of their own. Null and empty texts have no
     words and fail; repeated rows are judged one by one; an empty table gives an empty result.
     """
     keys = [f"_g{i}" for i in range(len(group_cols))]
@@ -260,10 +319,10 @@ def judged(
     )
     table = staged(base.withColumn("base_failed", base_failed()), "statistics").withColumns(_features())
     fit = table.filter("not base_failed")
-    own = mcd_estimates(fit.select(*keys, *FEATURES), keys, least)
-    # Groups that are too small have no estimate of their own; theirs is that over all rows.
     common = mcd_common(fit.select(*FEATURES))
-    scored = table.join(own.drop("n_group"), keys, "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in common.items()})
+    own = mcd_estimates(fit.select(*keys, *FEATURES), keys, common, prior)
+    # Groups of which no row passes the base rules have no estimate; their rows get the common distance.
+    scored = table.join(own, keys, "left").withColumns({c: F.coalesce(F.col(c), common[c]) for c in own.columns if c not in keys})
     scored = scored.withColumn("_distance", F.coalesce(_distance_from_factors(), F.lit(0.0)))
     if cut is None:
         far = scored.filter("not base_failed and _distance > 1")
