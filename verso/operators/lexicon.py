@@ -20,9 +20,10 @@ SURE = 85.0
 ZWNJ = "‌"
 
 
-def first_per_id(rows: DataFrame, order: str) -> DataFrame:
-    """Insert-or-ignore: the first row of each id stays."""
-    return rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "id"]), order).alias("_r")).select("id", "_r.*")
+def first_per_id(rows: DataFrame, *order: str) -> DataFrame:
+    """Insert-or-ignore: the first row of each id stays, one without a place in the order never. Columns of `order` after the first break its ties."""
+    place = F.when(F.col(order[0]).isNotNull(), F.struct(*order))
+    return rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "id"]), place).alias("_r")).select("id", "_r.*")
 
 
 def vocabulary(words: DataFrame, col: str = "word_norm") -> DataFrame:
