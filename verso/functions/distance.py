@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import deque
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,17 +15,83 @@ from pyspark.sql import types as T
 from verso.functions.text import tokens
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edits / longer length; two empty strings are equal, an empty and another one are not alike."""
+#: Edit tables of up to so many cells are counted cell by cell; larger ones by bits of whole numbers, a column a step.
+CELLS = 8192
+
+
+def edit_count(a: str, b: str) -> int:
+    """Fewest edits between two strings: rows of the edit table are bits of whole numbers, so a column costs a few operations."""
+    if len(a) < len(b):
+        a, b = b, a
+    first, most = 0, len(b)
+    while first < most and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < most - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not b:
+        return len(a)
+    return _last_row(a, b, 1)
+
+
+def _marks(text: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    at: dict[str, list[int]] = {}
+    for i, char in enumerate(text):
+        at.setdefault(char, []).append(i)
+    marks = {}
+    for char, places in at.items():
+        bits = bytearray(len(text) // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        marks[char] = int.from_bytes(bits, "little")
+    return marks
+
+
+def _last_row(rows: str, columns: str, step: int, best: bool = False) -> int:
+    """The last (or the least) cost in the last row of the edit table, whose first row grows by `step` a column; see `_columns`."""
+    n, marks = len(rows), _marks(rows)
+    whole, bit = (1 << n) - 1, n - 1
+    up, down, cost = whole, 0, n
+    least, find = n, marks.get
+    for char in columns:
+        equal = find(char, 0)
+        same = (((equal & up) + up) ^ up) | equal | down
+        right, left = (down | ~(same | up)) & whole, same & up
+        cost += (right >> bit) - (left >> bit & 1)
+        if cost < least:
+            least = cost
+        right = (right << 1 | step) & whole
+        up, down = ((left << 1) | ~(same | right)) & whole, right & same
+    return least if best else cost
+
+
+@F.pandas_udf(T.IntegerType())
+def _long_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_count(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Fewest edits between two strings; null if one of them is. As `levenshtein`, but not at the cost of every cell where strings are long."""
+    small = F.length(a).cast("long") * F.length(b) <= CELLS
+    return F.when(small, F.levenshtein(a, b)).otherwise(_long_edits(F.when(~small, a), F.when(~small, b)))
+
+
+def similarity(a: Column, b: Column, count: Callable[[Column, Column], Column] = F.levenshtein) -> Column:
+    """1 - edits / longer length; two empty strings are equal, an empty and another one are not alike.
+
+    `edits` as `count` is for long strings; it can't stand in functions over arrays.
+    """
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(1 - count(a, b) / longest)
 
 
 def cer(ref: Column, hyp: Column) -> Column:
     """Edits per character of the reference; null against an empty one."""
     n = F.length(ref)
-    return F.when(n > 0, F.levenshtein(ref, hyp) / n)
+    return F.when(n > 0, edits(ref, hyp) / n)
 
 
 #: Distinct words of a pair that an alphabet can spell: all code points from U+0100 on but the surrogates.
@@ -104,14 +170,9 @@ def substring_edits(needle: str, hay: str) -> int:
     """Fewest edits between `needle` and any substring of `hay`."""
     if not needle or not hay:
         return len(needle or "")
-    text = np.frombuffer(hay.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    at = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, dtype=np.int64)
-    for i, char in enumerate(needle, 1):
-        diagonal = row[:-1] + (text != ord(char))
-        best = np.concatenate(([i], np.minimum(diagonal, row[1:] + 1)))
-        row = np.minimum.accumulate(best - at) + at
-    return int(row.min())
+    if needle in hay:
+        return 0
+    return _last_row(needle, hay, 0, best=True)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -147,22 +208,62 @@ def longest_block(a: np.ndarray, b: np.ndarray, rare: np.ndarray) -> tuple[int,
     return start_a, start_b, end_a - start_a
 
 
+#: Characters that the substrings of one length may hold in all; longer common blocks are looked for place by place.
+HELD = 1 << 24
+
+
+def common_block(a: str, b: str) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest common block; of equally long ones the first in a, then in b, counts.
+
+    A block of some length is looked for among all substrings of that length; the length is doubled, then halved in.
+    """
+
+    def first(size: int) -> int:
+        known = {b[j : j + size] for j in range(len(b) - size + 1)}
+        return next((i for i in range(len(a) - size + 1) if a[i : i + size] in known), -1)
+
+    most = min(len(a), len(b))
+    if most and (a in b or b in a):
+        return (0, b.index(a), most) if a in b else (a.index(b), 0, most)
+    found, at, over = 0, 0, 1
+    while over <= most:
+        if over * len(b) > HELD:
+            codes = _codes(b)
+            return longest_block(_codes(a), codes, np.ones(len(codes), dtype=bool))
+        start = first(over)
+        if start < 0:
+            break
+        found, at, over = over, start, over * 2
+    over = min(over, most + 1)
+    while over - found > 1:
+        middle = (found + over) // 2
+        start = first(middle)
+        found, at, over = (middle, start, over) if start >= 0 else (found, at, middle)
+    return at, b.index(a[at : at + found]), found
+
+
 def matched(a: str, b: str) -> int:
     """Characters in the common blocks of two strings: the longest one, then those to its left and right in turn."""
-    left, right = _codes(a), _codes(b)
-    rare = np.ones(len(right), dtype=bool)
-    if len(right) >= LONG:
-        chars, of, n = np.unique(right, return_inverse=True, return_counts=True)
-        rare = (n <= len(right) // COMMON_PART + 1)[of]
-    total, parts = 0, deque([(0, len(left), 0, len(right))])
+    left, right = a, b
+    if len(b) >= LONG:
+        common = {c for c, n in Counter(b).items() if n > len(b) // COMMON_PART + 1}
+        # Common characters become signs that no text holds and that differ on both sides, so none begins a block.
+        left, right = (t.translate(dict.fromkeys(map(ord, common), sign)) for t, sign in ((a, "\ud800"), (b, "\ud801")))
+    total, parts = 0, deque([(0, len(a), 0, len(b))])
     while parts:
         a0, a1, b0, b1 = parts.pop()
         if a0 == a1 or b0 == b1:
             continue
-        i, j, size = longest_block(left[a0:a1], right[b0:b1], rare[b0:b1])
-        if size:
-            total += size
-            parts += [(a0, a0 + i, b0, b0 + j), (a0 + i + size, a1, b0 + j + size, b1)]
+        i, j, size = common_block(left[a0:a1], right[b0:b1])
+        i, j = a0 + i, b0 + j
+        i1, j1 = i + size, j + size
+        while i > a0 and j > b0 and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        while i1 < a1 and j1 < b1 and a[i1] == b[j1]:
+            i1, j1 = i1 + 1, j1 + 1
+        if i1 > i:
+            total += i1 - i
+            parts += [(a0, i, b0, j), (i1, a1, j1, b1)]
     return total
 
 
@@ -182,8 +283,7 @@ def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
     """The longest string that both hold, the first of equals in `a`; null counts as empty."""
 
     def one(x: str, y: str) -> str:
-        codes = _codes(y)
-        at, _, size = longest_block(_codes(x), codes, np.ones(len(codes), dtype=bool))
+        at, _, size = common_block(x, y)
         return x[at : at + size]
 
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verso.functions.distance import edits as edit_count
 from verso.functions.distance import semiglobal
 from verso.functions.values import atoms, numbers
 from verso.operators.scoring import multiset_hits, ratio
@@ -64,7 +65,7 @@ def field_cer(gt: Column, pred: Column) -> dict[str, Column]:
     """Edits and characters of a field, a missing prediction costing every character, and whether it is spurious."""
     gt, pred = F.coalesce(gt, F.lit("")), F.coalesce(pred, F.lit(""))
     return {
-        "edits": F.when(gt != "", F.levenshtein(gt, pred)),
+        "edits": F.when(gt != "", edit_count(gt, pred)),
         "chars": F.when(gt != "", F.length(gt)),
         "spurious": (gt == "") & (pred != ""),
     }
@@ -75,7 +76,7 @@ def placement(rows: DataFrame, *keys: str) -> DataFrame:
 
     `rows` is (doc, field, gt, pred, content): content is the whole output of the document.
     """
-    named = F.levenshtein("gt", F.coalesce("pred", F.lit("")))
+    named = edit_count(F.col("gt"), F.coalesce("pred", F.lit("")))
     any_ = semiglobal(F.col("gt"), F.col("content"))
     both = rows.filter(F.length("gt") > 0).withColumns({"_named": named, "_any": any_, "_n": F.length("gt")})
     return both.groupBy(*keys).agg(
@@ -94,7 +95,7 @@ def page_score(gt: Column, pred: Column) -> dict[str, Column]:
     n, m, words = F.length(gt), F.length(pred), F.size(tokens(gt))
     one = F.lit(1)
     return {
-        "cer": F.bround(F.levenshtein(gt, pred) / F.greatest(n, one), 4),
+        "cer": F.bround(edit_count(gt, pred) / F.greatest(n, one), 4),
         "wer": F.bround(word_edits(gt, pred) / F.greatest(words, one), 4),
         "gt_chars": n,
         "pred_chars": m,
