@@ -7,6 +7,8 @@ overlapping widths. What is one task's group is such a piece, never a page.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verso.operators.graph import connected_components
 from verso.session import written
 
 #: A box begins a line from this part of the page's text height on, and from this height on; fixed by the blueprint.
@@ -65,29 +66,52 @@ class _Band:
     """A line while it grows: its edges and the heights of its boxes."""
 
     def __init__(self, box, y0: float, y1: float, at: float) -> None:
-        self.box, self.top, self.low, self.at, self.heights = box, y0, y1, at, [y1 - y0]
+        self.box, self.top, self.low, self.at, self.heights = box, y0, y1, at, [y1 - y0]  # heights are sorted
 
     def take(self, y0: float, y1: float) -> None:
-        self.heights.append(y1 - y0)
-        if len(self.heights) < YOUNG or y1 - y0 <= OUTSIZED * float(np.median(self.heights)):
+        insort(self.heights, y1 - y0)
+        n = len(self.heights)
+        if (y0 < self.top or y1 > self.low) and (n < YOUNG or y1 - y0 <= OUTSIZED * (self.heights[(n - 1) // 2] + self.heights[n // 2]) / 2):
             self.top, self.low = min(self.top, y0), max(self.low, y1)
 
 
+#: Bands of an island up to which they are looked at one by one.
+FEW = 16
+
+
+def _fitting(bands: list[_Band], y0: float, y1: float) -> int:
+    """The place of the band that takes a tall box, -1 for none: the last of those that share most of its height."""
+    h, most, place = y1 - y0, 0, -1
+    for k in range(len(bands) - 1, -1, -1):
+        top, low = bands[k].top, bands[k].low
+        if low < y0 - ABOVE_LOW * h and top < y0 - ABOVE_TOP * h:
+            break
+        common = min(low, y1) - max(top, y0)
+        if common > most and common >= SHARE * min(low - top, h):
+            most, place = common, k
+    return place
+
+
+def _fitting_of_many(edges: np.ndarray, y0: float, y1: float) -> int:
+    """`_fitting` on the tops and lows of many bands."""
+    h, (top, low) = y1 - y0, edges
+    gone = np.flatnonzero((low < y0 - ABOVE_LOW * h) & (top < y0 - ABOVE_TOP * h))
+    first = gone[-1] + 1 if len(gone) else 0
+    common = np.minimum(low, y1) - np.maximum(top, y0)
+    fits = (common > 0) & (common >= SHARE * np.minimum(low - top, h)) & (np.arange(len(top)) >= first)
+    return int(np.flatnonzero(fits & (common == common[fits].max()))[-1]) if fits.any() else -1
+
+
 def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tall boxes, sorted by page, island, middle and box, with their band and its edges so far."""
-    here, bands, edges = None, [], np.zeros((2, 8))
+    here, bands, edges = None, [], np.zeros((2, 2 * FEW))
     for pdf in batches:
         found = []
-        for page, island, box, y0, y1 in zip(*(pdf[c] for c in ("page", "_island", "box", "y0", "y1")), strict=True):
+        for page, island, box, y0, y1 in zip(*(pdf[c].tolist() for c in ("page", "_island", "box", "y0", "y1")), strict=True):
             if (page, island) != here:
                 here, bands = (page, island), []
-            h, (top, low) = y1 - y0, edges[:, : len(bands)]
-            gone = np.flatnonzero((low < y0 - ABOVE_LOW * h) & (top < y0 - ABOVE_TOP * h))
-            first = gone[-1] + 1 if len(gone) else 0
-            common = np.minimum(low, y1) - np.maximum(top, y0)
-            fits = (common > 0) & (common >= SHARE * np.minimum(low - top, h)) & (np.arange(len(bands)) >= first)
-            if fits.any():
-                k = int(np.flatnonzero(fits & (common == common[fits].max()))[-1])
+            k = _fitting(bands, y0, y1) if len(bands) <= FEW else _fitting_of_many(edges[:, : len(bands)], y0, y1)
+            if k >= 0:
                 bands[k].take(y0, y1)
             else:
                 k = len(bands)
@@ -132,31 +156,46 @@ def _plain(boxes: DataFrame, page: str) -> DataFrame:
     return boxes.select(F.col(page).alias("page"), "box", "x0", "y0", "x1", "y1")
 
 
+class _Along:
+    """Boxes that come in the order of their left edges, for the gap between them and another box."""
+
+    def __init__(self) -> None:
+        self.lefts, self.reach = [], []  # reach: the outermost right edge so far
+
+    def add(self, x0: float, x1: float) -> None:
+        self.lefts.append(x0)
+        self.reach.append(max(x1, self.reach[-1]) if self.reach else x1)
+
+    def gap(self, x0: float, x1: float) -> float:
+        k = bisect_right(self.lefts, x1)
+        before = max(x0 - self.reach[k - 1], 0) if k else math.inf
+        return min(before, self.lefts[k] - x1) if k < len(self.lefts) else before
+
+
 def _attached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Boxes sorted by page, strip, tall ones first, left edge and box; small marks get the nearest band.
 
     Nearest is by the gap to a band's boxes, those that joined before included, then by height.
     """
-    here, bands = None, {}  # band -> [seed_at, top, low, left edges, right edges]
+    here, bands = None, {}  # band -> (seed_at, top, low, tall boxes, marks)
     for pdf in batches:
         chosen = []
         columns = ("page", "strip", "x0", "y0", "x1", "y1", "band", "top", "low", "seed_at")
-        for page, strip, x0, y0, x1, y1, band, top, low, at in zip(*(pdf[c] for c in columns), strict=True):
+        for page, strip, x0, y0, x1, y1, band, top, low, at in zip(*(pdf[c].tolist() for c in columns), strict=True):
             if (page, strip) != here:
                 here, bands = (page, strip), {}
-            if at == at:  # a tall box, as marks have no number here
-                bands.setdefault(band, [at, top, low, [], []])
+            tall = at == at and at is not None  # marks have no number here
+            if tall:
+                bands.setdefault(band, (at, top, low, _Along(), _Along()))
             else:
                 middle, best = (y0 + y1) / 2, None
-                for name, (seed_at, upper, lower, lefts, rights) in bands.items():
+                for name, (seed_at, upper, lower, *boxes) in bands.items():
                     if upper - REACH * (lower - upper) <= middle <= lower + REACH * (lower - upper):
-                        gap = min(max(a - x1, x0 - b, 0) for a, b in zip(lefts, rights, strict=True))
-                        rank = (gap, abs(middle - (upper + lower) / 2), seed_at, name)
+                        rank = (min(along.gap(x0, x1) for along in boxes), abs(middle - (upper + lower) / 2), seed_at, name)
                         best = rank if best is None else min(best, rank)
                 band = best[3] if best else None
             if band is not None:
-                bands[band][3].append(x0)
-                bands[band][4].append(x1)
+                bands[band][3 if tall else 4].add(x0, x1)
             chosen.append(band)
         yield pdf[["page", "box", "x0", "y0", "x1", "y1"]].assign(band=pd.Series(chosen, dtype=object))
 
@@ -202,12 +241,69 @@ def neighbour_links(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return linked.select(*keys, "a", F.col("_b.box").alias("b"))
 
 
+class _Groups:
+    """Boxes of one line that come from left to right, and the groups that their links make so far."""
+
+    def __init__(self) -> None:
+        self.boxes, self.parent, self.near = [], [], []  # near: (place, x1, y0, y1) of boxes that may still be linked
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def add(self, box, x0: float, x1: float, y0: float, y1: float) -> None:
+        k, h, near = len(self.boxes), y1 - y0, []
+        self.boxes.append(box)
+        self.parent.append(k)
+        for other in self.near:
+            at, right, top, low = other
+            if k - at > AHEAD or x0 - right > AWAY * max(h, low - top):
+                continue
+            near.append(other)
+            if min(y1, low) - max(y0, top) >= COMMON * min(h, low - top):
+                a, b = self.root(at), self.root(k)
+                if self.boxes[a] > self.boxes[b]:
+                    a, b = b, a
+                self.parent[b] = a  # a root is the least box of its group
+        near.append((k, x1, y0, y1))
+        self.near = near
+
+    def least(self) -> list:
+        return [self.boxes[self.root(k)] for k in range(len(self.boxes))]
+
+
+def _neighbours(keys: list[str]):
+    """Boxes sorted by line and from left to right, as a stream: the least box of the group of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, here, line = [], None, _Groups()
+        for pdf in batches:
+            found = []
+            named = zip(*(pdf[k].tolist() for k in keys), strict=True)
+            for key, *box in zip(named, *(pdf[c].tolist() for c in ("box", "x0", "x1", "y0", "y1")), strict=True):
+                if key != here:
+                    found += line.least()
+                    here, line = key, _Groups()
+                line.add(*box)
+            held.append(pdf)
+            if found:
+                rows = pd.concat(held)
+                yield rows.iloc[: len(found)].assign(line=found)
+                held = [rows.iloc[len(found) :]]
+        if line.boxes:
+            yield pd.concat(held).assign(line=line.least())
+
+    return run
+
+
 def neighbour_groups(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """`boxes` with line, the least box that is reached over neighbour links within the keys."""
-    node = lambda c: F.struct(*keys, F.col(c).alias("box"))
-    links = neighbour_links(boxes, keys).select(node("a").alias("a"), node("b").alias("b"))
-    found = connected_components(links).select(*(F.col("node")[k].alias(k) for k in keys), F.col("node")["box"].alias("box"), F.col("component")["box"].alias("line"))
-    return boxes.join(found, [*keys, "box"], "left").withColumn("line", F.coalesce("line", "box"))
+    """`boxes` with line, the least box that is reached over neighbour links (see `neighbour_links`) within the keys.
+
+    A box is linked to some of the next ones only, so a line is one pass from left to right; what a task holds is one line.
+    """
+    return _in_runs(boxes, keys, ["x0", "box"], _neighbours(keys), _schema(boxes, {"line": dict(boxes.dtypes)["box"]}))
 
 
 def text_lines(boxes: DataFrame, page: str = "page") -> DataFrame:
