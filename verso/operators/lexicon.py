@@ -76,7 +76,9 @@ def fix_words(words: DataFrame, lexicon: DataFrame, groups: tuple[str, ...], scr
     """
     doubtful = (F.col("conf") < sure) & (F.length("word") >= least) & F.col("word").rlike(script)
     fixes = repair(words.filter(doubtful).select("word"), lexicon, groups, least).filter("rule <> 'kept'")
-    joined = words.withColumn("_open", F.when(doubtful, F.col("word"))).join(fixes.withColumnRenamed("word", "_open"), "_open", "left")
+    # Words that stay have no key; a hash beside it keeps them from being one task's.
+    keyed = words.withColumns({"_open": F.when(doubtful, F.col("word")), "_deal": F.when(doubtful, F.lit(0).cast("long")).otherwise(F.xxhash64(*words.columns))})
+    joined = keyed.join(fixes.withColumnRenamed("word", "_open").withColumn("_deal", F.lit(0).cast("long")), ["_open", "_deal"], "left")
     return joined.select(*words.columns, F.coalesce("fixed", "word").alias("fixed"), F.coalesce("rule", F.lit("kept")).alias("rule"))
 
 
