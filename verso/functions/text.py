@@ -223,7 +223,9 @@ def token_set(text: Column, core: str = PERSIAN_CORE, rules: Rules = DEFAULT) ->
     known = F.coalesce(text, F.lit(""))
     if rules.nfc:  # of the whole text, as it may leave the JVM
         known, rules = nfc(known), replace(rules, nfc=False)
-    parts = F.filter(F.transform(F.split(known, " "), lambda t: F.regexp_extract(t, core, 0)), lambda w: w != "")
+    # Equal tokens are taken once before any rule runs on them: a text has far fewer distinct ones.
+    tokens_ = F.array_distinct(F.split(known, " "))
+    parts = F.array_distinct(F.filter(F.transform(tokens_, lambda t: F.regexp_extract(t, core, 0)), lambda w: w != ""))
     return F.array_distinct(F.filter(F.transform(parts, lambda w: normalize(w, rules)), lambda w: w != ""))
 
 
