@@ -29,3 +29,9 @@ def test_words_that_stay_are_not_one_key(spark):
 def test_tokens_are_distinct_before_rules_run(spark):
     df = spark.createDataFrame([("سلام، سلام x سلام، يك یک",)], "t string").select(text.token_set(F.col("t")).alias("s"))
     assert df.first()["s"] == ["سلام", "یک"] and plan(df.filter(F.col("s").isNotNull())).count("array_distinct") >= 3
+
+
+def test_turns_are_not_sent_to_the_driver(spark, sf):
+    from verso.plans.catalogue import QUERIES
+
+    assert "rightHint=(strategy=broadcast)" in plan(QUERIES["a26_arms"](spark, sf))
