@@ -57,6 +57,30 @@ def test_history_over_several_runs(spark, tmp_path):
     assert sorted(got) == want and len(want) > 60 and len({r[2] for r in want}) == 5
 
 
+def test_history_is_made_by_built_in_state(spark, tmp_path):
+    """No call into Python for a job; equal events stay two, a lifetime holds to its very end, and a late event is late for lifetimes too."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    runs = [
+        [("a", "STARTED", 0, 0), ("a", "STARTED", 0, 0), ("a", "SUCCESS", 100, 0), ("b", "QUEUED", 0, 0), ("b", "QUEUED", 100.001, 0), ("c", "QUEUED", 1000, 0)],
+        [("a", "QUEUED", 850, 0), ("b", "QUEUED", 500, 0), ("c", "LOST", 950, 0), ("c", "QUEUED", 2000, 0)],  # the watermark stands at 940
+    ]
+    try:
+        for run, new in enumerate(runs):
+            write(inbox, f"{run}.json", new)
+            out = jobs.job_history(spark.readStream.schema(EVENT).json(str(inbox)), lifetime_s=100 * 60, late="60 minutes")
+            plan = out._jdf.queryExecution().analyzed().toString()
+            assert "InPySpark" not in plan and "Pandas" not in plan
+            out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+    got = [(r["job_id"], round((r["ts"].replace(tzinfo=UTC) - START).total_seconds() / 60, 3), r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == history([*runs[0], *runs[1][2:]], 100, 2000 - 60)
+    assert ("b", 100, "404") in got and ("a", 100, "404") not in got and got.count(("a", 0, "running")) == 2
+
+
 def test_intake_that_stops_before_the_commit(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()

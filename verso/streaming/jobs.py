@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 #: Fixed mapping of worker states to reported ones.
 STATES = {"QUEUED": "queued", "RECEIVED": "queued", "RETRY": "queued", "STARTED": "running", "SUCCESS": "done"}
@@ -40,74 +38,28 @@ def spool(spark: SparkSession, path: str, schema: str, per_trigger: int = 100, d
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
     return (stream.option("cleanSource", "delete") if delete else stream).json(path)
 
-STATUSES = "job_id {0}, ts timestamp, status string"
-
-
-class _Lifetimes(StatefulProcessor):
-    """One job: events wait until the watermark has passed them, so they count in the order of their times.
-
-    Times are microseconds since 1970. There is one timer a job, for the next thing that is due: the earliest event that
-    waits, or the end of the lifetime of the last one.
-    """
-
-    def __init__(self, lifetime: int) -> None:
-        self.lifetime = lifetime
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long")
-        self.waiting = handle.getListState("waiting", "at long, seq long, status string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        come = [r for pdf in rows for r in zip(pdf["at"].tolist(), pdf["seq"].tolist(), pdf["status"].tolist(), strict=True)]
-        self.waiting.appendList(come)
-        self._wake(min(at for at, _, _ in come))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get())
-        due, later = [e for e in held if e[0] < passed], [e for e in held if e[0] >= passed]
-        last, out = self.last.get()[0] if self.last.exists() else None, []
-        for at, _, status in due:
-            if last is not None and at > last + self.lifetime:
-                out.append((last + self.lifetime, "404"))
-            out.append((at, status))
-            last = at
-        if last is not None and last + self.lifetime < passed:
-            out.append((last + self.lifetime, "404"))
-            last = None
-        if due:
-            self.waiting.put(later) if later else self.waiting.clear()
-        self.last.clear() if last is None else self.last.update((last,))
-        ahead = [*(e[0] for e in later[:1]), *([last + self.lifetime] if last is not None else [])]
-        if ahead:
-            self._wake(min(ahead))
-        if out:
-            yield pd.DataFrame({"job_id": [key[0]] * len(out), "ts": pd.to_datetime([at for at, _ in out], unit="us"), "status": [s for _, s in out]})
-
-    def _wake(self, at: int) -> None:
-        """Ask for a call once the watermark is past `at`."""
-        self.handle.registerTimer(at // 1000 + 1)
-
-    def close(self) -> None:
-        pass
-
 
 def job_history(events: DataFrame, lifetime_s: int = 86_400, late: str = "1 hour") -> DataFrame:
     """(job_id, ts, status): what the status of each job becomes and when, as the watermark passes.
 
-    `events` is a stream of job_id, state, ts and seq (which decides between equal times). A job that is silent for its
-    lifetime is forgotten: it turns 404 that long after its last event, and its state goes. Events may come in any
-    order within `late`; later ones are dropped. Events with a null job or time are left out. State is two values
-    a job and the events that wait, kept in RocksDB, which the session has to name as its state store.
+    `events` is a stream of job_id, state and ts. A job that is silent for its lifetime is forgotten: it turns 404 that
+    long after its last event, and its state goes. Events may come in any order within `late`; later ones are dropped.
+    Events with a null job or time are left out. State is the events that wait for the watermark (twice, as both the
+    rows and the lifetimes are made of them) and one session a job that lives; at size it belongs in RocksDB, which the
+    session names as its state store.
     """
     rows = events.filter("job_id is not null and ts is not null").withWatermark("ts", late)
-    rows = rows.select("job_id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), job_status(F.col("state")).alias("status"))
-    kind = dict(rows.dtypes)["job_id"]
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=_Lifetimes(lifetime_s * 1_000_000), outputStructType=STATUSES.format(kind), outputMode="append", timeMode="EventTime"
-    )
+    rows = rows.select("job_id", "ts", job_status(F.col("state")).alias("status"))
+    # A window of one microsecond is one time, and it closes when the watermark has passed that time.
+    tick = F.window("ts", "1 microsecond").alias("_tick")
+    passed = rows.groupBy("job_id", tick, "status").agg(F.count(F.lit(1)).alias("_n"))
+    came = passed.select("job_id", F.window_time("_tick").alias("ts"), F.explode(F.array_repeat("status", F.col("_n").cast("int"))).alias("status"))
+    # Lifetimes are sessions of what has passed, so that an event that is late for the rows prolongs no session. An event at the
+    # very end of a lifetime still prolongs it, hence the microsecond.
+    times = rows.groupBy("job_id", tick).agg(F.count(F.lit(1)).alias("_n")).select("job_id", F.window_time("_tick").alias("ts"))
+    lives = times.groupBy("job_id", F.session_window("ts", f"{lifetime_s * 1_000_000 + 1} microseconds").alias("_life")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = lives.select("job_id", F.window_time("_life").alias("ts"), F.lit("404").alias("status"))
+    return came.union(ends)
 
 
 def take_in(spark: SparkSession, source: DataFrame, ledger: str, sink: str, checkpoint: str, work, stop_before_commit: bool = False) -> None:
